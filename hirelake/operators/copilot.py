@@ -46,18 +46,16 @@ def skill_gap(targets: DataFrame, owned: DataFrame, requirements: DataFrame, min
         owned.select("profile_id", "skill"), ["profile_id", "skill"], "left_anti")
 
 
-def skill_lift(base: DataFrame, in_cohort: str, min_support: int, row_id: str = "posting_id",
-               skill: str = "skill") -> DataFrame:
-    """How much more often the cohort has a skill than everybody does.
+def skill_lift(skills: DataFrame, cohort: DataFrame, good: str, min_support: int,
+               row_id: str = "posting_id") -> DataFrame:
+    """How much more often the good part of a cohort has a skill than the whole of it.
 
-    ``base`` holds distinct ``row_id, skill, in_cohort`` rows.
+    ``skills`` is distinct ``row_id, skill``; ``cohort`` is ``row_id`` with the boolean ``good``.
     """
-    people = base.select(row_id, in_cohort).distinct()
-    n_all, n_cohort = people.agg(
-        F.count(F.lit(1)), F.count_if(in_cohort)).first()
-    counts = base.groupBy(skill).agg(
-        F.count(F.lit(1)).alias("n_all"), F.count_if(in_cohort).alias("n_cohort"))
-    lift = (F.col("n_cohort") / float(n_cohort or 1)) / (F.col("n_all") / float(n_all or 1))
+    n_all, n_good = cohort.agg(F.count(F.lit(1)), F.count_if(good)).first()
+    counts = skills.join(cohort, row_id).groupBy("skill").agg(
+        F.count(F.lit(1)).alias("n_all"), F.count_if(good).alias("n_cohort"))
+    lift = (F.col("n_cohort") / float(n_good or 1)) / (F.col("n_all") / float(n_all or 1))
     return counts.where(F.col("n_all") >= min_support).withColumn("lift", lift)
 
 

@@ -93,6 +93,26 @@ def _earliest_similar(row_id: str, threshold: float):
     return kernel
 
 
+def _collapse(df: DataFrame, content: str, row_id: str, block: list[str] | None = None):
+    """Split rows into the first of each distinct content and ``(row_id, _rep)`` of the copies.
+
+    Contents are compared by two 64-bit hashes, so only ids and hashes are shuffled to
+    find the copies; ``min`` is combined map-side, whatever the size of a group.
+    """
+    stored = materialize(df, "contents")
+    keys = ["_h1", "_h2", *(block or [])]
+    hashed = stored.select(row_id, *(block or []), F.xxhash64(content).alias("_h1"),
+                           F.xxhash64(F.reverse(content)).alias("_h2"))
+    first = hashed.groupBy(*keys).agg(F.min(row_id).alias("_rep"), F.count(F.lit(1)).alias("_n"))
+    copies = materialize(
+        null_safe_join(hashed, first.where(F.col("_n") > 1).drop("_n"), keys)
+        .where(F.col(row_id) != F.col("_rep")).select(row_id, "_rep"), "copies"
+    )
+    if copies.isEmpty():
+        return stored, copies
+    return materialize(stored.join(copies.select(row_id), row_id, "left_anti"), "distinct"), copies
+
+
 def dedupe_semantic(df: DataFrame, threshold: float, block: list[str] | None = None,
                     row_id: str = "posting_id", leaders: int = 256, tile_rows: int = 2048) -> DataFrame:
     """Tier 3: link each posting to the earliest posting of its block whose vector has
@@ -107,12 +127,9 @@ def dedupe_semantic(df: DataFrame, threshold: float, block: list[str] | None = N
     block = list(block or [])
     id_type = dict(df.dtypes)[row_id]
     schema = f"{row_id} {id_type}, dup_of {id_type}, score double"
-    rows = df.select(row_id, "embedding", *block).where(F.size("embedding") > 0)
-
-    first = rows.groupBy("embedding", *block).agg(F.min(row_id).alias("_rep"))
-    tagged = null_safe_join(rows, first, ["embedding", *block])
-    copies = tagged.where(F.col(row_id) != F.col("_rep")).select(row_id, "_rep")
-    reps = materialize(first.withColumnRenamed("_rep", row_id), "vectors")
+    rows = df.select(row_id, "embedding", *block).where(
+        F.exists("embedding", lambda x: x != 0))  # a zero vector resembles nothing
+    reps, copies = _collapse(rows, "embedding", row_id, block)
 
     rank = F.row_number().over(Window.partitionBy(*block).orderBy(row_id))
     heads = reps.withColumn("_rank", rank).where(F.col("_rank") <= leaders).drop("_rank")
@@ -158,15 +175,12 @@ def near_dup_text(df: DataFrame, jaccard: float, row_id: str = "posting_id",
     """
     words = df.select(row_id, tx.tokens(text).alias("_words"))
     sets = words.select(row_id, shingles(F.col("_words")).alias("_set"))
-    first = sets.groupBy("_set").agg(F.min(row_id).alias("_rep"))
-    copies = sets.join(first, "_set").where(F.col(row_id) != F.col("_rep")).select(row_id, "_rep")
-    reps = materialize(
-        first.select(F.col("_rep").alias("id"), F.col("_set").alias("set"),
-                     F.size("_set").alias("n")), "shingles"
-    )
+    reps, copies = _collapse(sets, "_set", row_id)
+    reps = reps.select(F.col(row_id).alias("id"), F.col("_set").alias("set"), F.size("_set").alias("n"))
 
     each = reps.select("id", "n", F.explode("set").alias("sh"))
-    spread = each.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    # Reads ``n`` too, so both uses of the exploded shingles share one shuffle.
+    spread = each.groupBy("sh").agg(F.count_if(F.col("n") > 0).alias("df")).where(F.col("df") > 1)
     shared = each.join(spread, "sh")
     # Shingles found in one text only come first in the rarity order but meet nobody.
     per_text = shared.groupBy("id").agg(F.count(F.lit(1)).alias("_shared"))
@@ -248,21 +262,20 @@ def resolve_clusters(edges: DataFrame, a: str = "posting_id", b: str = "dup_of")
     ).where(F.col("hi").isNotNull() & (F.col("hi") != F.col("lo"))).distinct()
     loops = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"))
     links = materialize(links, "links")
-    before = _fingerprint(links)
-    while True:
-        links = materialize(_small_star(_large_star(links)), "links")
-        after = _fingerprint(links)
-        if after == before:
-            break
-        before = after
+    while not _settled(links):
+        wide = materialize(_large_star(links), "links")
+        links = materialize(_small_star(wide), "links")
     members = links.select(F.col("hi").alias("node"), F.col("lo").alias("job_id"))
     roots = links.select("lo").union(loops).distinct().select(
         F.col("lo").alias("node")).join(members.select("node"), "node", "left_anti")
     return members.unionByName(roots.select("node", F.col("node").alias("job_id")))
 
 
-def _fingerprint(links: DataFrame):
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether every node points at one root, and no root points anywhere."""
+    forked = links.groupBy("hi").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    chained = links.join(links.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi")
+    return forked.isEmpty() and chained.isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:

@@ -17,17 +17,16 @@ def comp_by(jobs: DataFrame, dims: list[str], comp: str = "comp", probs: dict[st
 
 
 def comp_cube(jobs: DataFrame, comp: str = "comp", probs: dict[str, float] | None = None) -> DataFrame:
-    """Comp per (role, location), per role, per location and overall; ``grouping`` tells which.
+    """Comp per (role, location), per role, per location and overall.
 
-    Equal amounts are counted before the four sets fan out.
+    ``grouping`` is the grouping id: 0 for both, 1 without location, 2 without role, 3 overall.
     """
-    counted = jobs.groupBy("role", "location", comp).agg(F.count(F.lit(1)).alias("_w"))
-    sets = counted.groupingSets(
-        [["role", "location", comp], ["role", comp], ["location", comp], [comp]],
-        "role", "location", comp,
-    ).agg(F.grouping_id("role", "location", comp).alias("_g"), F.sum("_w").alias("_w"))
-    sets = sets.withColumn("grouping", F.shiftright(F.col("_g"), 1).cast("int"))
-    return exact_percentiles(sets, ["role", "location", "grouping"], comp, probs or QUARTILES, "_w")
+    role, place, none = F.col("role"), F.col("location"), F.lit(None).cast("string")
+    level = lambda r, p, g: F.struct(
+        r.alias("role"), p.alias("location"), F.lit(g).alias("grouping"))
+    levels = F.array(level(role, place, 0), level(role, none, 1), level(none, place, 2), level(none, none, 3))
+    sets = jobs.select(F.explode(levels).alias("s"), comp).select("s.*", comp)
+    return exact_percentiles(sets, ["role", "location", "grouping"], comp, probs or QUARTILES)
 
 
 def comp_trend(jobs: DataFrame, bucket: str = "month", by: str = "role", at: str = "seen_at",

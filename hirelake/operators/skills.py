@@ -42,7 +42,8 @@ def keywords(df: DataFrame, k: int, row_id: str = "posting_id", text: str = "des
     """Top ``k`` terms per row by ``tf * ln((1 + N) / (1 + df))``; ties by term."""
     total = df.count()
     counts = term_counts(df, row_id, text)
-    spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Reads ``tf`` too, so both uses of the counts share one shuffle.
+    spread = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(F.lit(1.0 + total) / (F.col("df") + 1.0))
     scored = counts.join(spread, "term").withColumn("weight", F.round(F.col("tf") * idf, 6))
     order = Window.partitionBy(row_id).orderBy(F.desc("weight"), "term")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from hirelake.functions import text as tx
 from hirelake.operators import copilot, dedupe, embed, freshness, market, match, normalize, ops, skills
 from hirelake.plans import roles
-from hirelake.session import fresh_dir, materialize, tune
+from hirelake.session import fresh_dir, materialize, spread, tune
 from hirelake.sources import adapters, stores
 from hirelake.streaming import flows
 
@@ -90,7 +90,7 @@ def raw_store(spark, sf):
 
 def normalized_store(spark, sf):
     path = fresh_dir(spark, "normalized")
-    tidy = _normalized(spark, sf)
+    tidy = _silver(spark, sf)
     stores.write_normalized(tidy, path)
     newest = freshness.latest(tidy, "fetched_at")
     stores.write_normalized(tidy.where(F.to_date("fetched_at") == F.lit(newest.date())), path)
@@ -117,8 +117,8 @@ def profile_files(spark, sf):
 
 
 def html_pages(spark, sf):
-    return roles.table(spark, sf, "pages").select(
-        "page_id", tx.html_title("html").alias("title"), tx.html_to_text("html").alias("body"))
+    pages = spread(roles.table(spark, sf, "pages").select("page_id", "html"))
+    return pages.select("page_id", tx.html_title("html").alias("title"), tx.html_to_text("html").alias("body"))
 
 
 # ---- normalization ----------------------------------------------------------------
@@ -127,6 +127,11 @@ def _normalized(spark, sf) -> DataFrame:
     return normalize.normalize(roles.raw_postings(spark, sf), roles.PAYLOAD_MAPPING)
 
 
+def _silver(spark, sf) -> DataFrame:
+    """The normalized store: written once, then read column by column."""
+    return materialize(_normalized(spark, sf), "silver")
+
+
 def normalized(spark, sf):
     return _text(_normalized(spark, sf), "fetched_at")
 
@@ -214,15 +219,15 @@ def _tiers():
 
 def _with_jobs(spark, sf) -> DataFrame:
     """Postings with the job the tier cascade puts them in."""
-    clean = roles.postings(spark, sf).withColumns({
+    clean = materialize(roles.postings(spark, sf).withColumns({
         "canonical_url": F.concat_ws("/", "source", "external_id"),
-        "title_norm": tx.norm_title("title"), "company_norm": tx.norm_company("company")})
+        "title_norm": tx.norm_title("title"), "company_norm": tx.norm_company("company")}), "clean")
     edges = dedupe.dedupe(clean, _tiers())
     return materialize(dedupe.assign_jobs(clean, dedupe.resolve_clusters(edges)), "members")
 
 
 def dedupe_external_id(spark, sf):
-    return dedupe.dedupe_exact(_normalized(spark, sf), CROSS_SOURCE_KEYS)
+    return dedupe.dedupe_exact(_silver(spark, sf), CROSS_SOURCE_KEYS)
 
 
 def dedupe_url(spark, sf):
@@ -232,11 +237,11 @@ def dedupe_url(spark, sf):
 
 
 def dedupe_title_company(spark, sf):
-    return dedupe.dedupe_title_company(_normalized(spark, sf))
+    return dedupe.dedupe_title_company(_silver(spark, sf))
 
 
 def dedupe_cascade(spark, sf):
-    return dedupe.dedupe(_normalized(spark, sf), _tiers())
+    return dedupe.dedupe(_silver(spark, sf), _tiers())
 
 
 def dedupe_semantic(spark, sf):
@@ -417,10 +422,11 @@ def skill_gap(spark, sf):
 
 
 def skill_lift(spark, sf):
-    words = skills.term_counts(roles.documents(spark, sf)).withColumnRenamed("term", "skill")
-    labels = roles.table(spark, sf, "labels").withColumnRenamed("doc_id", "posting_id")
-    base = words.join(labels, "posting_id").select("posting_id", "skill", (F.col("quality") == 1).alias("good"))
-    return _round(copilot.skill_lift(base, "good", 20), "lift").select("skill", "n_all", "n_cohort", "lift")
+    words = skills.term_counts(roles.documents(spark, sf)).select("posting_id", F.col("term").alias("skill"))
+    cohort = roles.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("posting_id"), (F.col("quality") == 1).alias("good"))
+    return _round(copilot.skill_lift(words, cohort, "good", 20), "lift").select(
+        "skill", "n_all", "n_cohort", "lift")
 
 
 def tailored(spark, sf):

@@ -323,7 +323,7 @@ SQL: dict[str, str] = {
         AND t.mentions >= 3)""",
     "skill_lift": f"""WITH {DOCTERMS}, b AS (SELECT posting_id, term AS skill, quality = 1 AS good FROM tc
         JOIN labels ON posting_id = doc_id),
-      t AS (SELECT count(DISTINCT posting_id) AS a, count(DISTINCT posting_id) FILTER (good) AS g FROM b)
+      t AS (SELECT count(*) AS a, count(*) FILTER (quality = 1) AS g FROM labels)
       SELECT skill, n_all, n_cohort, round((n_cohort / CAST(g AS DOUBLE)) / (n_all / CAST(a AS DOUBLE)), 6) AS lift
       FROM (SELECT skill, count(*) AS n_all, count(*) FILTER (good) AS n_cohort FROM b GROUP BY 1), t
       WHERE n_all >= 20""",

@@ -7,6 +7,8 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hirelake.session import materialize
+
 BINS_PER_E_FOLD = 200  # one bin spans about 0.5 % of a value
 
 
@@ -26,27 +28,27 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None = None
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """Interpolated percentiles per key, plus the row count ``n``.
 
-    Equal values are counted map-side first, a log-scale histogram (a few thousand
-    bins at most) finds the bins that hold the wanted ranks, and only those bins are
-    sorted. A group with a third of all rows costs no more memory than any other.
+    Two pruned passes and no shuffle of the values. The first counts a log-scale
+    histogram map-side (a few thousand bins per key at most) and finds the bins that
+    hold the wanted ranks; these are written out, so their size is known when they are
+    joined. The second pass keeps only rows of those bins, counts equal values map-side
+    and orders what is left. A group with a third of all rows is handled like any other.
     """
-    keys = list(keys) or ["_all"]
-    if keys == ["_all"]:
-        df = df.withColumn("_all", F.lit(1))
-    n = F.sum(weight) if weight else F.count(F.lit(1))
-    counted = (
+    keys = list(keys)
+    if not keys:
+        return exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
+    binned = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(n.alias("_n"))
+        .select(*keys, F.col(value).cast("double").alias("_v"))
         .withColumn("_bin", _bin(F.col("_v")))
     )
     by_bin = Window.partitionBy(*keys).orderBy("_bin")
     histogram = (
-        counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bin_n"))
+        binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_bin_n"))
         .withColumn("_before", F.sum("_bin_n").over(by_bin.rowsBetween(Window.unboundedPreceding, 0))
                     - F.col("_bin_n"))
         .withColumn("_total", F.sum("_bin_n").over(Window.partitionBy(*keys)))
@@ -59,12 +61,13 @@ def exact_percentiles(
         return (target >= F.col(start)) & (target < F.col(start) + F.col(length))
 
     sides = (F.floor, F.ceil)
-    wanted = histogram.where(
+    wanted = materialize(histogram.where(
         reduce(or_, [holds(rank(p, s), "_before", "_bin_n") for p in probs.values() for s in sides])
-    ).drop("_bin_n")
+    ).drop("_bin_n"), "bins")
     in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v")
     ranked = (
-        null_safe_join(counted, wanted, [*keys, "_bin"])
+        null_safe_join(binned, wanted, [*keys, "_bin"])
+        .groupBy(*keys, "_bin", "_before", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_from", F.col("_before") - F.col("_n")
                     + F.sum("_n").over(in_bin.rowsBetween(Window.unboundedPreceding, 0)))
     )
@@ -76,5 +79,4 @@ def exact_percentiles(
         position = F.lit(float(p)) * (F.col("n") - 1)
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    shown = [k for k in keys if k != "_all"]
-    return ranked.groupBy(*keys).agg(*picks).select(*shown, "n", *out)
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, "n", *out)

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hirelake.functions.text import ngrams, tokens
+from hirelake.session import spread
+
 # Application status for each event type.
 STATUS_OF_EVENT = {
     "view": "saved",
@@ -239,15 +242,12 @@ def ops_events(spark, sf) -> DataFrame:
 
 
 def documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(
-        F.col("doc_id").alias("posting_id"), F.col("text").alias("description"), "lang", "source"
-    )
+    return spread(table(spark, sf, "documents").select(
+        F.col("doc_id").alias("posting_id"), F.col("text").alias("description"), "source"))
 
 
 def dictionary(spark, sf) -> DataFrame:
     """Skill dictionary with aliases: the long words and the word pairs of the benchmark texts."""
-    from hirelake.functions.text import ngrams, tokens
-
     return (
         table(spark, sf, "benchmark").select(tokens("text").alias("words"))
         .select(F.explode(ngrams(F.col("words"), 2)).alias("alias"))

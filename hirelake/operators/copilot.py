@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hirelake.operators.embed import LLMProvider, generate
 from hirelake.plans.quantiles import exact_percentiles
 from hirelake.plans.series import with_neighbour
+from hirelake.session import materialize
 
 # Stages of an application, in order, and the moves between them.
 STATUSES = ["saved", "applied", "interviewing", "offer", "rejected"]
@@ -41,7 +42,8 @@ def skill_gap(targets: DataFrame, owned: DataFrame, requirements: DataFrame, min
     """
     needed = requirements.where(F.col("share") >= min_share).select("role", "skill", "share")
     order = Window.partitionBy("role").orderBy(F.desc("share"), "skill")  # one row per skill
-    ranks = needed.withColumn("demand_rank", F.row_number().over(order))
+    # Written, so that its size is known: broadcast if small, else AQE splits a hot role.
+    ranks = materialize(needed.withColumn("demand_rank", F.row_number().over(order)), "demand")
     return targets.join(ranks, "role").join(
         owned.select("profile_id", "skill"), ["profile_id", "skill"], "left_anti")
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hirelake.functions import text as tx
-from hirelake.plans.quantiles import null_safe_join
+from hirelake.plans.skew import HOT_ROWS, join_counted
 from hirelake.plans.tiles import tiled
 from hirelake.session import materialize
 
@@ -25,19 +25,19 @@ Tier = Callable[[DataFrame], DataFrame]
 
 # ---- tiers 1 and 2: equal keys -------------------------------------------------
 
-def group_edges(df: DataFrame, keys: list[str], tier: str, row_id: str = "posting_id") -> DataFrame:
+def group_edges(df: DataFrame, keys: list[str], tier: str, row_id: str = "posting_id",
+                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Link every row to the smallest id that has the same non-null keys.
 
-    ``min`` is combined map-side and only keys with two or more rows join back, one
-    row each; AQE splits the row side of a hot key.
+    ``min`` is combined map-side, and only keys with two or more rows join back.
     """
     present = df.select(row_id, *keys).where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
     first = (
         present.groupBy(*keys).agg(F.min(row_id).alias("dup_of"), F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > 1).drop("_n")
+        .where(F.col("_n") > 1)
     )
     return (
-        present.join(first, keys).where(F.col(row_id) != F.col("dup_of"))
+        join_counted(present, first, keys, hot_rows=hot_rows).where(F.col(row_id) != F.col("dup_of"))
         .select(F.col(row_id), "dup_of", F.lit(tier).alias("tier"))
     )
 
@@ -105,7 +105,7 @@ def _collapse(df: DataFrame, content: str, row_id: str, block: list[str] | None
                            F.xxhash64(F.reverse(content)).alias("_h2"))
     first = hashed.groupBy(*keys).agg(F.min(row_id).alias("_rep"), F.count(F.lit(1)).alias("_n"))
     copies = materialize(
-        null_safe_join(hashed, first.where(F.col("_n") > 1).drop("_n"), keys)
+        join_counted(hashed, first.where(F.col("_n") > 1), keys, null_safe=True)
         .where(F.col(row_id) != F.col("_rep")).select(row_id, "_rep"), "copies"
     )
     if copies.isEmpty():
@@ -114,7 +114,8 @@ def _collapse(df: DataFrame, content: str, row_id: str, block: list[str] | None
 
 
 def dedupe_semantic(df: DataFrame, threshold: float, block: list[str] | None = None,
-                    row_id: str = "posting_id", leaders: int = 256, tile_rows: int = 2048) -> DataFrame:
+                    row_id: str = "posting_id", leaders: int = 256, tile_rows: int = 2048,
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """Tier 3: link each posting to the earliest posting of its block whose vector has
     cosine similarity of at least ``threshold`` (to six places). Exact.
 
@@ -135,12 +136,12 @@ def dedupe_semantic(df: DataFrame, threshold: float, block: list[str] | None = N
     heads = reps.withColumn("_rank", rank).where(F.col("_rank") <= leaders).drop("_rank")
     kernel = _earliest_similar(row_id, threshold)
     early = materialize(
-        tiled(reps, heads, row_id, row_id, block, kernel, schema, tile_rows), "leader-edges"
+        tiled(reps, heads, row_id, row_id, block, kernel, schema, tile_rows, hot_rows), "leader-edges"
     )
     # Leaders have met every earlier row already.
     done = early.select(row_id).union(heads.select(row_id)).distinct()
     rest = reps.join(done, row_id, "left_anti")
-    late = tiled(rest, reps, row_id, row_id, block, kernel, schema, tile_rows)
+    late = tiled(rest, reps, row_id, row_id, block, kernel, schema, tile_rows, hot_rows)
     matched = early.unionByName(late).groupBy(row_id).agg(
         F.min(F.struct("dup_of", "score")).alias("_m")
     ).select(row_id, "_m.dup_of", "_m.score")
@@ -163,7 +164,7 @@ def shingles(words, n: int = 3):
 
 
 def near_dup_text(df: DataFrame, jaccard: float, row_id: str = "posting_id",
-                  text: str = "description", leaders: int = 16) -> DataFrame:
+                  text: str = "description", leaders: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Link each text to the earliest text whose shingle sets overlap by ``jaccard``. Exact.
 
     Equal sets collapse first. Two sets that similar must share one of the rarest
@@ -179,9 +180,8 @@ def near_dup_text(df: DataFrame, jaccard: float, row_id: str = "posting_id",
     reps = reps.select(F.col(row_id).alias("id"), F.col("_set").alias("set"), F.size("_set").alias("n"))
 
     each = reps.select("id", "n", F.explode("set").alias("sh"))
-    # Reads ``n`` too, so both uses of the exploded shingles share one shuffle.
-    spread = each.groupBy("sh").agg(F.count_if(F.col("n") > 0).alias("df")).where(F.col("df") > 1)
-    shared = each.join(spread, "sh")
+    spread = each.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    shared = join_counted(each, spread.withColumn("_n", F.col("df")), ["sh"], hot_rows=hot_rows)
     # Shingles found in one text only come first in the rarity order but meet nobody.
     per_text = shared.groupBy("id").agg(F.count(F.lit(1)).alias("_shared"))
     order = Window.partitionBy("id").orderBy("df", "sh")
@@ -189,7 +189,7 @@ def near_dup_text(df: DataFrame, jaccard: float, row_id: str = "posting_id",
     members = (
         shared.withColumn("_pos", F.row_number().over(order)).join(per_text, "id")
         .where(F.col("n") - F.col("_shared") + F.col("_pos") <= prefix_length)
-        .select("sh", "id", "n")
+        .select("sh", "df", "id", "n")
     )
     members = materialize(members, "meeting-points")
     found = None  # id, dup_of, score of the best match so far
@@ -197,7 +197,8 @@ def near_dup_text(df: DataFrame, jaccard: float, row_id: str = "posting_id",
     while not waiting.isEmpty():
         rank = F.row_number().over(Window.partitionBy("sh").orderBy("id"))
         heads = waiting.withColumn("_rank", rank).where(F.col("_rank") <= width)
-        heads = heads.select("sh", F.col("id").alias("other"), F.col("n").alias("other_n"))
+        heads = materialize(
+            heads.select("sh", "df", F.col("id").alias("other"), F.col("n").alias("other_n")), "heads")
         testers = members if found is None else members.join(
             found.select("id", "dup_of"), "id", "left")
         can_match = (
@@ -207,13 +208,17 @@ def near_dup_text(df: DataFrame, jaccard: float, row_id: str = "posting_id",
         )
         if found is not None:
             can_match &= F.col("dup_of").isNull() | (F.col("other") < F.col("dup_of"))
-        pairs = testers.join(heads, "sh").where(can_match).select("id", "other").distinct()
-        left = reps.select("id", F.col("set").alias("_a"))
-        right = reps.select(F.col("id").alias("other"), F.col("set").alias("_b"))
-        common = F.size(F.array_intersect("_a", "_b"))
+        # Points with very many members are few (shingles / hot_rows), so their heads are broadcast.
+        hot = F.col("df") > hot_rows
+        meet = testers.where(~hot).join(heads.where(~hot).drop("df"), "sh").unionByName(
+            testers.where(hot).join(F.broadcast(heads.where(hot).drop("df")), "sh"))
+        pairs = materialize(meet.where(can_match).select("id", "other").distinct(), "pairs")
+        wanted = pairs.groupBy("other").agg(F.count(F.lit(1)).alias("_n"))
+        theirs = reps.select(F.col("id").alias("other"), F.col("set").alias("_b")).join(wanted, "other")
+        mine = pairs.join(reps.select("id", F.col("set").alias("_a")), "id")
         hits = (
-            pairs.join(left, "id").join(right, "other")
-            .withColumn("_common", common)
+            join_counted(mine, theirs, ["other"], hot_rows=hot_rows)
+            .withColumn("_common", F.size(F.array_intersect("_a", "_b")))
             .withColumn("score", F.col("_common") / (F.size("_a") + F.size("_b") - F.col("_common")))
             .where(F.col("score") >= jaccard)
             .select("id", F.col("other").alias("dup_of"), "score")
@@ -233,7 +238,7 @@ def near_dup_text(df: DataFrame, jaccard: float, row_id: str = "posting_id",
         waiting = materialize(
             waiting.join(last, "sh").where(F.col("id") > F.col("_last"))
             .join(open_until, "sh").where(F.col("id") < F.col("_until"))
-            .select("sh", "id", "n"), "waiting"
+            .select("sh", "df", "id", "n"), "waiting"
         )
         width *= 4
 
@@ -249,7 +254,8 @@ def near_dup_text(df: DataFrame, jaccard: float, row_id: str = "posting_id",
 
 # ---- transitive closure and survivors -------------------------------------------
 
-def resolve_clusters(edges: DataFrame, a: str = "posting_id", b: str = "dup_of") -> DataFrame:
+def resolve_clusters(edges: DataFrame, a: str = "posting_id", b: str = "dup_of",
+                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(node, job_id)``: every node with the smallest id of its connected component.
 
     Alternating large-star and small-star rounds (published MapReduce connected
@@ -263,8 +269,8 @@ def resolve_clusters(edges: DataFrame, a: str = "posting_id", b: str = "dup_of")
     loops = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"))
     links = materialize(links, "links")
     while not _settled(links):
-        wide = materialize(_large_star(links), "links")
-        links = materialize(_small_star(wide), "links")
+        wide = materialize(_large_star(links, hot_rows), "links")
+        links = materialize(_small_star(wide, hot_rows), "links")
     members = links.select(F.col("hi").alias("node"), F.col("lo").alias("job_id"))
     roots = links.select("lo").union(loops).distinct().select(
         F.col("lo").alias("node")).join(members.select("node"), "node", "left_anti")
@@ -278,22 +284,24 @@ def _settled(links: DataFrame) -> bool:
     return forked.isEmpty() and chained.isEmpty()
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, hot_rows: int) -> DataFrame:
     """Point every larger neighbour of a node at the node's smallest neighbour."""
     both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
         links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    smallest = both.groupBy("u").agg(F.min("v").alias("_m")).select(
-        "u", F.least("u", "_m").alias("m"))
+    smallest = both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n")).select(
+        "u", F.least("u", "_m").alias("m"), "_n")
     return (
-        both.where(F.col("v") > F.col("u")).join(smallest, "u")
+        join_counted(both.where(F.col("v") > F.col("u")), smallest, ["u"], hot_rows=hot_rows)
         .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
     )
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, hot_rows: int) -> DataFrame:
     """Point a node and its smaller neighbours at the smallest of them."""
-    smallest = links.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = links.join(smallest, "hi").where(F.col("lo") != F.col("m")).select(
+    smallest = links.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("_n"))
+    # A node with one smaller neighbour stays as it is; only the others join back.
+    forked = smallest.where(F.col("_n") > 1)
+    moved = join_counted(links, forked, ["hi"], hot_rows=hot_rows).where(F.col("lo") != F.col("m")).select(
         F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionByName(smallest.select("hi", F.col("m").alias("lo"))).distinct()
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hirelake.functions import text as tx
+from hirelake.plans.skew import join_counted
+from hirelake.session import materialize
 
 
 def skill_mentions(df: DataFrame, dictionary: DataFrame, row_id: str = "posting_id",
@@ -41,11 +43,10 @@ def term_counts(df: DataFrame, row_id: str = "posting_id", text: str = "descript
 def keywords(df: DataFrame, k: int, row_id: str = "posting_id", text: str = "description") -> DataFrame:
     """Top ``k`` terms per row by ``tf * ln((1 + N) / (1 + df))``; ties by term."""
     total = df.count()
-    counts = term_counts(df, row_id, text)
-    # Reads ``tf`` too, so both uses of the counts share one shuffle.
-    spread = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    counts = materialize(term_counts(df, row_id, text), "terms")
+    spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_n", F.col("df"))
     idf = F.log(F.lit(1.0 + total) / (F.col("df") + 1.0))
-    scored = counts.join(spread, "term").withColumn("weight", F.round(F.col("tf") * idf, 6))
+    scored = join_counted(counts, spread, ["term"]).withColumn("weight", F.round(F.col("tf") * idf, 6))
     order = Window.partitionBy(row_id).orderBy(F.desc("weight"), "term")
     return (
         scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

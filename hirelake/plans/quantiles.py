@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hirelake.plans.skew import null_safe_join
 from hirelake.session import materialize
 
 BINS_PER_E_FOLD = 200  # one bin spans about 0.5 % of a value
@@ -17,16 +18,6 @@ def _bin(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * BINS_PER_E_FOLD)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on keys where null equals null; the right side's keys are dropped."""
-    renamed = right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
-    )
-    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def exact_percentiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
 ) -> DataFrame:

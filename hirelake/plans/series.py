@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hirelake.plans.quantiles import null_safe_join
+from hirelake.plans.skew import null_safe_join
 
 
 def with_neighbour(

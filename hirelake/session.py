@@ -56,7 +56,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path below one folder per application, which can be dropped when it ends."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/hirelake-{application}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

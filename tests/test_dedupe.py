@@ -22,9 +22,9 @@ def components(edges):
     return {x: find(x) for x in parent}
 
 
-def resolved(spark, edges):
+def resolved(spark, edges, **options):
     frame = spark.createDataFrame(edges, "posting_id bigint, dup_of bigint")
-    rows = dedupe.resolve_clusters(frame).collect()
+    rows = dedupe.resolve_clusters(frame, **options).collect()
     assert len({r.node for r in rows}) == len(rows)
     return {r.node: r.job_id for r in rows}
 
@@ -35,6 +35,7 @@ def test_clusters_of_known_shapes(spark):
     edges = chain + star + [(400, 400), (501, 500)]
     random.Random(1).shuffle(edges)
     assert resolved(spark, edges) == components(edges)
+    assert resolved(spark, edges, hot_rows=2) == components(edges)
     assert resolved(spark, []) == {}
 
 
@@ -53,6 +54,12 @@ def test_exact_keys_skip_nulls(spark):
     assert got == {("c", "a"), ("c", "b")}
 
 
+def test_hot_keys_give_the_same_edges(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 7}") for i in range(200)], "posting_id int, key string")
+    plain = sorted(map(tuple, dedupe.group_edges(rows, ["key"], "t").collect()))
+    assert plain and plain == sorted(map(tuple, dedupe.group_edges(rows, ["key"], "t", hot_rows=10).collect()))
+
+
 def test_cascade_gives_later_tiers_one_row_per_group(spark):
     rows = spark.createDataFrame([
         ("a", "u1", "x", "k"), ("b", "u1", "y", "k"), ("c", "u2", "x", "k"), ("d", "u3", "z", ""),
@@ -96,7 +103,7 @@ def test_similar_vectors_equal_brute_force_with_hot_block(spark):
 
     frame = spark.createDataFrame([(i, vectors[i], blocks[i]) for i in vectors],
                                   "posting_id bigint, embedding array<double>, block int")
-    got = dedupe.dedupe_semantic(frame, 0.7, ["block"], leaders=3, tile_rows=7).collect()
+    got = dedupe.dedupe_semantic(frame, 0.7, ["block"], leaders=3, tile_rows=7, hot_rows=20).collect()
     assert {r.posting_id: r.dup_of for r in got} == _brute(sorted(vectors), similar)
 
 
@@ -127,8 +134,8 @@ def test_similar_texts_equal_brute_force_with_hot_group(spark):
         return len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6
 
     frame = spark.createDataFrame(list(texts.items()), "posting_id bigint, description string")
-    for leaders in (1, 16):
-        got = dedupe.near_dup_text(frame, 0.6, leaders=leaders).collect()
+    for leaders, hot_rows in ((1, 5), (16, 1_000_000)):
+        got = dedupe.near_dup_text(frame, 0.6, leaders=leaders, hot_rows=hot_rows).collect()
         assert {r.posting_id: r.dup_of for r in got} == _brute(sorted(texts), similar)
 
 

@@ -41,8 +41,8 @@ HOURS_PER_YEAR = 2080
 
 WORD_BREAK = r"[^\p{L}]+"
 NOT_ALNUM = r"[^\p{L}\p{N}+#]+"
-URL_HEAD = r"^(\s|[a-z][a-z0-9+.-]*://|(www|m)\.)+"
-URL_TAIL = r"(\s|/|\.html?)+$"
+URL_HEAD = r"^(?:\s|[a-z][a-z0-9+.-]*://|(?:www|m)\.)+"
+URL_TAIL = r"(?:\s|/|\.html?)+$"
 AMOUNT = r"[0-9][0-9,]*(?:\.[0-9]+)? *k?"
 THOUSANDS = r"[0-9] *k([^a-z]|$)"
 HOURLY = r"hour|/ *hr|/ *h([^a-z]|$)"

@@ -183,11 +183,11 @@ def near_dup_text(df: DataFrame, jaccard: float, row_id: str = "posting_id",
     spread = each.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     shared = join_counted(each, spread.withColumn("_n", F.col("df")), ["sh"], hot_rows=hot_rows)
     # Shingles found in one text only come first in the rarity order but meet nobody.
-    per_text = shared.groupBy("id").agg(F.count(F.lit(1)).alias("_shared"))
-    order = Window.partitionBy("id").orderBy("df", "sh")
+    own = Window.partitionBy("id")  # bounded by one text
     prefix_length = F.col("n") - F.ceil(F.col("n") * F.lit(float(jaccard)) - 1e-9) + 1
     members = (
-        shared.withColumn("_pos", F.row_number().over(order)).join(per_text, "id")
+        shared.withColumn("_pos", F.row_number().over(own.orderBy("df", "sh")))
+        .withColumn("_shared", F.count(F.lit(1)).over(own))
         .where(F.col("n") - F.col("_shared") + F.col("_pos") <= prefix_length)
         .select("sh", "df", "id", "n")
     )

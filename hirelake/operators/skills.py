@@ -14,10 +14,12 @@ def skill_mentions(df: DataFrame, dictionary: DataFrame, row_id: str = "posting_
     """Distinct ``(row_id, skill)`` for every dictionary alias found in the whole text.
 
     Grams are made distinct per row before they are exploded, so a hot gram
-    contributes one row per text. A dictionary under the broadcast threshold filters
-    map-side; above it the join shuffles and AQE splits hot grams.
+    contributes one row per text. The dictionary is written first: with its size known,
+    one under the broadcast threshold filters map-side; above it the join shuffles and
+    AQE splits hot grams.
     """
-    aliases = dictionary.select(F.lower("alias").alias("gram"), "skill").distinct()
+    aliases = materialize(
+        dictionary.select(F.lower("alias").alias("gram"), "skill").distinct(), "dictionary")
     words = df.select(row_id, tx.tokens(text).alias("_words"))
     grams = words.select(row_id, F.explode(tx.ngrams(F.col("_words"), longest)).alias("gram"))
     return grams.join(aliases, "gram").select(row_id, "skill").distinct()

@@ -393,7 +393,7 @@ def phrased(spark, sf):
 
 
 def generated(spark, sf):
-    prompts = roles.table(spark, sf, "conversations").where(F.col("role") == "user").select(
+    prompts = roles.table(spark, sf, "conversations").select(
         "conv_id", "turn", F.concat(F.lit("Reply to: "), "text").alias("prompt"))
     return embed.generate(prompts, "prompt", embed.TemplateProvider()).select("conv_id", "turn", "completion")
 

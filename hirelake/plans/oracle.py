@@ -306,8 +306,7 @@ SQL: dict[str, str] = {
     "phrased": f"""WITH {EXPLAINED} SELECT profile_id, job_id, score, rank, CASE WHEN len(overlap) > 0 THEN
       'Matches ' || len(overlap) || ' of ' || n_required || ' listed skills: ' || array_to_string(overlap, ', ') || '.'
       ELSE 'Similar wording; no listed skill in common.' END AS explanation FROM ex""",
-    "generated": f"""SELECT conv_id, turn, {_LETTER.format("('Reply to: ' || text)")} AS completion FROM conversations
-      WHERE role = 'user'""",
+    "generated": f"""SELECT conv_id, turn, {_LETTER.format("('Reply to: ' || text)")} AS completion FROM conversations""",
     "letters": f"""WITH {EXPLAINED} SELECT profile_id, job_id, {_LETTER.format('''
       ('I would like to apply for position ' || job_id || '. I bring ' || CASE WHEN len(overlap) > 0 THEN
       array_to_string(overlap, ', ') ELSE 'a related background' END || '.')''')} AS letter FROM ex""",

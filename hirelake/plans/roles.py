@@ -62,16 +62,16 @@ def job_parts(spark, sf) -> DataFrame:
     )
 
 
-def places(spark, sf) -> DataFrame:
-    """Location of a source; the dimension tables join as Catalyst sees fit."""
-    nation = table(spark, sf, "nation")
-    region = table(spark, sf, "region")
+def with_place(df: DataFrame, spark, sf, supplier_key: str) -> DataFrame:
+    """Add the location of a source. One dimension at a time: each join then sees the
+    true size of a scan and is broadcast or shuffled accordingly."""
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey", F.col("n_name").alias("location"))
+    region = table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("region"))
+    supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     return (
-        table(spark, sf, "supplier")
+        df.join(supplier, F.col(supplier_key) == F.col("s_suppkey"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", F.col("n_name").alias("location"), F.col("r_name").alias("region"),
-                "r_regionkey")
     )
 
 
@@ -84,16 +84,13 @@ def postings(spark, sf) -> DataFrame:
         F.min("l_extendedprice").alias("comp_min"),
         F.max("l_extendedprice").alias("comp_max"),
     )
-    return (
-        seen.join(job_parts(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
-        .join(places(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            _id("l_partkey", "l_suppkey").alias("posting_id"),
-            F.col("l_suppkey").cast("string").alias("source"),
-            F.col("l_partkey").cast("string").alias("external_id"),
-            "title", "company", "role", "seniority", "location", "region", "r_regionkey", "skills",
-            "first_seen", "last_seen", "n_seen", "comp_min", "comp_max",
-        )
+    jobs = seen.join(job_parts(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
+    return with_place(jobs, spark, sf, "l_suppkey").select(
+        _id("l_partkey", "l_suppkey").alias("posting_id"),
+        F.col("l_suppkey").cast("string").alias("source"),
+        F.col("l_partkey").cast("string").alias("external_id"),
+        "title", "company", "role", "seniority", "location", "region", "r_regionkey", "skills",
+        "first_seen", "last_seen", "n_seen", "comp_min", "comp_max",
     )
 
 
@@ -133,14 +130,11 @@ PAYLOAD_MAPPING = {
 
 def observed_jobs(spark, sf) -> DataFrame:
     """Sightings with the job's role and location, for market questions."""
-    obs = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    return (
-        obs.join(job_parts(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
-        .join(places(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            _id("l_partkey", "l_suppkey").alias("posting_id"), "role", "location", "region",
-            "skills", F.col("l_shipdate").alias("seen_at"), F.col("l_extendedprice").alias("comp"),
-        )
+    obs = spread(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"))
+    jobs = obs.join(job_parts(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
+    return with_place(jobs, spark, sf, "l_suppkey").select(
+        _id("l_partkey", "l_suppkey").alias("posting_id"), "role", "location", "region",
+        "skills", F.col("l_shipdate").alias("seen_at"), F.col("l_extendedprice").alias("comp"),
     )
 
 

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hirelake.operators.embed import LLMProvider, generate
+from hirelake.operators.skills import jobs_asking
 from hirelake.plans.quantiles import exact_percentiles
 from hirelake.plans.series import with_neighbour
 from hirelake.session import materialize
@@ -24,13 +25,15 @@ ALLOWED_MOVES = [
 KEYS = ["profile_id", "job_id"]
 
 
-def role_requirements(jobs: DataFrame, role: str = "role", row_id: str = "posting_id") -> DataFrame:
-    """Share of a role's postings that ask for each skill. Skills count once per posting."""
-    totals = jobs.groupBy(role).agg(F.count_distinct(row_id).alias("n_jobs"))
-    asked = (
-        jobs.select(role, row_id, F.explode("skills").alias("skill"))
-        .groupBy(role, "skill").agg(F.count_distinct(row_id).alias("n_asking"))
-    )
+def role_requirements(jobs: DataFrame, role: str = "role", row_id: str = "posting_id",
+                      unique: bool = False) -> DataFrame:
+    """Share of a role's postings that ask for each skill.
+
+    Pass ``unique`` when every posting has one row; the counts then need no distinct.
+    """
+    n = F.count(F.lit(1)) if unique else F.count_distinct(row_id)
+    totals = jobs.groupBy(role).agg(n.alias("n_jobs"))
+    asked = jobs_asking(jobs, [role], row_id, unique)
     return asked.join(totals, role).withColumn("share", F.col("n_asking") / F.col("n_jobs"))
 
 

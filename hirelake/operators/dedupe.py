@@ -160,7 +160,7 @@ def shingles(words, n: int = 3):
     """Distinct hashed word ``n``-grams of a token column; a shorter text is one shingle."""
     short = F.array(F.array_join(words, " "))
     grams = F.when(F.size(words) >= n, tx.word_ngrams(words, n)).otherwise(short)
-    return F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))))
+    return F.sort_array(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))))
 
 
 def near_dup_text(df: DataFrame, jaccard: float, row_id: str = "posting_id",

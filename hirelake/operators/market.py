@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hirelake.operators.freshness import current_openings
+from hirelake.operators.skills import jobs_asking
 from hirelake.plans.quantiles import exact_percentiles
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -38,12 +39,9 @@ def comp_trend(jobs: DataFrame, bucket: str = "month", by: str = "role", at: str
     return medians.withColumn("change", F.col("p50") - F.lag("p50").over(order))
 
 
-def skill_demand(jobs: DataFrame, row_id: str = "posting_id") -> DataFrame:
-    """Postings that ask for each skill."""
-    return (
-        jobs.select(row_id, F.explode("skills").alias("skill"))
-        .groupBy("skill").agg(F.count_distinct(row_id).alias("n_jobs"))
-    )
+def skill_demand(jobs: DataFrame, row_id: str = "posting_id", unique: bool = False) -> DataFrame:
+    """Postings that ask for each skill; ``unique`` when every posting has one row."""
+    return jobs_asking(jobs, [], row_id, unique).withColumnRenamed("n_asking", "n_jobs")
 
 
 def skill_trend(jobs: DataFrame, bucket: str = "quarter", at: str = "seen_at",
@@ -51,10 +49,7 @@ def skill_trend(jobs: DataFrame, bucket: str = "quarter", at: str = "seen_at",
     """Share of each period's postings asking for a skill, its change, and a three-period mean."""
     cut = jobs.select(row_id, "skills", F.date_trunc(bucket, at).alias("period"))
     totals = cut.groupBy("period").agg(F.count_distinct(row_id).alias("n_jobs"))
-    asked = (
-        cut.select(row_id, "period", F.explode("skills").alias("skill"))
-        .groupBy("skill", "period").agg(F.count_distinct(row_id).alias("n_asking"))
-    )
+    asked = jobs_asking(cut, ["period"], row_id, unique=False)
     share = asked.join(totals, "period").withColumn("share", F.col("n_asking") / F.col("n_jobs"))
     order = Window.partitionBy("skill").orderBy("period")  # one row per period
     return share.withColumn("change", F.col("share") - F.lag("share").over(order)).withColumn(
@@ -66,11 +61,8 @@ def role_pay_now(jobs: DataFrame, role: str, as_of: datetime, ttl_days: float, c
     return comp_by(current_openings(jobs, as_of, ttl_days).where(F.col("role") == role), ["role"], comp)
 
 
-def top_skills(jobs: DataFrame, n: int, row_id: str = "posting_id") -> DataFrame:
+def top_skills(jobs: DataFrame, n: int, row_id: str = "posting_id", unique: bool = False) -> DataFrame:
     """The ``n`` most demanded skills of each role; ties by skill."""
-    counts = (
-        jobs.select("role", row_id, F.explode("skills").alias("skill"))
-        .groupBy("role", "skill").agg(F.count_distinct(row_id).alias("n_jobs"))
-    )
+    counts = jobs_asking(jobs, ["role"], row_id, unique).withColumnRenamed("n_asking", "n_jobs")
     order = Window.partitionBy("role").orderBy(F.desc("n_jobs"), "skill")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

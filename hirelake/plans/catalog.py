@@ -412,11 +412,11 @@ def match_feed(spark, sf):
 
 def role_requirements(spark, sf):
     jobs = roles.postings(spark, sf)
-    return _round(copilot.role_requirements(jobs), "share").select("role", "skill", "n_asking", "n_jobs", "share")
+    return _round(copilot.role_requirements(jobs, unique=True), "share").select("role", "skill", "n_asking", "n_jobs", "share")
 
 
 def skill_gap(spark, sf):
-    needs = copilot.role_requirements(roles.postings(spark, sf))
+    needs = copilot.role_requirements(roles.postings(spark, sf), unique=True)
     gaps = copilot.skill_gap(roles.target_roles(spark, sf), roles.profile_skills(spark, sf), needs, 0.12)
     return _round(gaps, "share").select("profile_id", "role", "skill", "share", "demand_rank")
 
@@ -495,7 +495,7 @@ def comp_trend(spark, sf):
 
 
 def skill_demand(spark, sf):
-    return market.skill_demand(roles.postings(spark, sf))
+    return market.skill_demand(roles.postings(spark, sf), unique=True)
 
 
 def skill_trend(spark, sf):
@@ -509,7 +509,7 @@ def role_pay_now(spark, sf):
 
 
 def top_skills(spark, sf):
-    return market.top_skills(roles.postings(spark, sf), 5)
+    return market.top_skills(roles.postings(spark, sf), 5, unique=True)
 
 
 # ---- ops and streams -----------------------------------------------------------------------

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # AQE splits a skewed shuffle partition (a hot key) into several tasks even
 # where that costs one more shuffle downstream.
 RUNTIME_SETTINGS = {
@@ -20,8 +22,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Stream state off the JVM heap: first and last sightings are kept for every posting.
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
 }
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(app: str = "hirelake", master: str | None = None, **conf) -> SparkSession:

@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from hirelake.llm import language, mixing, sharding
+from hirelake.llm import jaccard, language, mixing, sharding, tiling
 from hirelake.llm.words import table
 
 
+def op1_decontamination(spark, sf):
+    return tiling.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op4_mix_sources(spark, sf):
     return mixing.mixing_plan(table(spark, sf, "documents"))
 
 
+def op5_ngram_jaccard(spark, sf):
+    return jaccard.components(table(spark, sf, "documents"))
+
+
 def op7_language(spark, sf):
     return language.identify(table(spark, sf, "documents"))
 
@@ -19,7 +27,9 @@ def op10_sharding(spark, sf):
     return sharding.shard_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op4_mix_sources, op7_language, op10_sharding]}
+QUERIES = {f.__name__: f for f in [
+    op1_decontamination, op4_mix_sources, op5_ngram_jaccard, op7_language, op10_sharding,
+]}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-SQL = {"op4_mix_sources": mixing.SQL}
+SQL = {"op4_mix_sources": mixing.SQL, "op5_ngram_jaccard": jaccard.SQL}

@@ -6,13 +6,15 @@ similarity is at least 0.8. The join is exact and goes in four steps.
 1. Equal sets are one point; only one document of each goes on.
 2. Points that can link share one of their first ``n - ceil(0.8 n) + 1`` shingles in any
    common order. The order here is by how often a shingle's hash group occurs in the corpus,
-   counted over all documents, so passages shared by many come last. Neighbours in size at
-   a shared shingle become edges; their connected components hold all possible links.
-3. Within a component shingles are hashed into ``GROUPS`` groups and the group counts are
-   points of an R-tree. The summed coordinate minima of a point and a node's upper corner
-   bound the overlap with everything below it; nodes and points under the overlap that a
-   link needs are passed over, as are pairs that are connected already.
-4. Surviving pairs are verified on the whole shingle sets.
+   counted over all documents, so passages shared by many come last.
+3. Shingles are also hashed into ``GROUPS`` groups and the group counts are points of an
+   R-tree, one for the documents that meet at a shingle. The summed coordinate minima of a
+   point and a node's upper corner bound the overlap with everything below it; nodes and
+   points under the overlap that a link needs are passed over. Connected components of the
+   surviving pairs hold all possible links. (Where more than ``BLOCK`` documents meet at a
+   shingle, neighbours in size become edges instead, which holds no less.)
+4. Surviving pairs of a component are verified on the whole shingle sets, bounded first by the
+   R-tree again; pairs that are connected already are passed over.
 
 A component is split into tiles of a bounded number of shingles, so no task holds a group
 that grows: tiles are joined within, then with the first tile, and at last all that is not
@@ -38,9 +40,11 @@ from hirelake.operators.dedupe import resolve_clusters
 from hirelake.session import materialize
 
 WIDTH = 5
-GROUPS = 64
+GROUPS = 128
+FULL = 65_535  # a count of this or more
 COUNTERS = 1 << 16
 LEAF = 32
+BLOCK = 20_000
 TILE = 2_000_000  # shingles held together by one task
 
 
@@ -95,44 +99,109 @@ def _points(docs: DataFrame) -> DataFrame:
         read, "doc_id long, n long, d1 long, d2 long, counts array<long>")
 
 
+def group_counts(own: np.ndarray) -> np.ndarray:
+    """The point of a set: how many of its shingles fall into each group."""
+    return np.bincount((own >> np.uint64(32) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+
+
 def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """The rarest shingles of every document, as many as a link must touch."""
+    """One row for each distinct set: its smallest id, its point, and its rarest shingles,
+    as many as a link must touch."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, often = WordHashes(), shared.value
         for batch in batches:
-            firsts, digests, sizes = [], [], []
+            firsts, digests, sizes, points = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(hashes, text)
                 n = len(own)
-                order = np.lexsort((own, often[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                order = np.argsort(often[(own & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
                 firsts.append(own[order[:n - (4 * n + 4) // 5 + 1 if n else 0]].view(np.int64))
                 digests.append(xxhash.xxh3_128_intdigest(own.tobytes()))
                 sizes.append(n)
+                points.append(np.minimum(group_counts(own), FULL).astype(np.uint16).tobytes())
             half = np.array([[d >> 64, d & (1 << 64) - 1] for d in digests], np.uint64).reshape(-1, 2).view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
             flat = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(half[:, 0]), pa.array(half[:, 1]),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n", "d1", "d2", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(
-        read, "doc_id long, n long, d1 long, d2 long, keys array<long>")
-
-
-def _meetings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Edges between points next to each other in size at a shared shingle. Where neighbours
-    differ too much in size, so does everything on either side of them."""
-    one_each = _prefixes(docs, counts).where("n > 0").groupBy("d1", "d2", "n").agg(
-        F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    by_size = Window.partitionBy("key").orderBy("n", "id")
-    return (
-        one_each.select("id", "n", F.explode("keys").alias("key"))
-        .select("id", "n", F.lag("id").over(by_size).alias("before"), F.lag("n").over(by_size).alias("less"))
-        .where("before is not null and less * 5 >= n * 4 and before <> id")
-        .select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct()
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(points, pa.binary())],
+                ["doc_id", "n", "d1", "d2", "keys", "point"])
+
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return known.mapInArrow(
+        read, "doc_id long, n long, d1 long, d2 long, keys array<long>, point binary").where("n > 0").groupBy(
+        "d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("point").alias("point"))
+
+
+def _meetings(docs: DataFrame, counts: np.ndarray, block: int) -> DataFrame:
+    """Edges whose components hold every link. Where neighbours in size at a shared shingle
+    differ too much, so does everything on either side of them."""
+    sets = materialize(_prefixes(docs, counts).select("id", "n", "keys", "point"), "prefixes")
+    at_key = Window.partitionBy("key")
+    by_size = at_key.orderBy("n", "id")
+    meet = (
+        sets.select("id", "n", F.explode("keys").alias("key"))
+        .select("id", "n", "key", F.lag("id").over(by_size).alias("before"), F.lag("n").over(by_size).alias("less"),
+                F.lead("n").over(by_size).alias("more"), F.count(F.lit(1)).over(at_key).alias("c"))
+        .withColumn("near", F.coalesce(F.col("less") * 5 >= F.col("n") * 4, F.lit(False)))
+        .where("near or n * 5 >= more * 4")
     )
+    meet = materialize(meet.select("id", "n", "key", F.when(F.col("near"), F.col("before")).alias("before"), "c"), "meetings")
+    # Other points may have the same id where rows repeat it; those are one document anyway.
+    crowded = meet.where((F.col("c") > block) & F.col("before").isNotNull()).select(
+        F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b"))
+    points = sets.select("id", "n", "point")
+    met = meet.where(F.col("c") <= block).select("id", "n", "key").join(points, ["id", "n"])
+    near = met.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(_survivors, "a long, b long")
+    return near.unionByName(crowded).where("a <> b").distinct()
+
+
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs at one shingle whose points allow a link: all of them for a few documents, as
+    stars of their components for many."""
+
+    def edges(key: np.ndarray, ids: np.ndarray, sizes: np.ndarray, points: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        lengths = np.diff(np.append(starts, len(key)))
+        few = np.repeat(lengths <= LEAF, lengths)
+        left = np.repeat(starts + lengths, lengths) - np.arange(len(key)) - 1  # rows after this one in its block
+        for step in range(1, LEAF):
+            x = np.flatnonzero(few & (left >= step))
+            if not len(x):
+                break
+            y = x + step
+            fits = sizes[x] * 5 >= sizes[y] * 4
+            x, y = x[fits], y[fits]
+            good = np.minimum(points[x], points[y]).sum(1) >= needed(sizes[x] + sizes[y])
+            x, y = ids[x[good]], ids[y[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        for first, length in zip(starts[lengths > LEAF], lengths[lengths > LEAF]):
+            own, forest = slice(first, first + length), Forest()
+            tree, names = CountTree(points[own], sizes[own]), ids[own].tolist()
+            for i in range(length):
+                for j in tree.probe(points[first + i], int(sizes[first + i])).tolist():
+                    forest.join(names[i], names[j])
+            stars = [(forest.root(x), x) for x in dict.fromkeys(names)]
+            yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in stars], pa.int64()),
+                                              pa.array([s[1] for s in stars], pa.int64())], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        points = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+        points[points == FULL] = 1 << 22
+        now = [batch.column("key").to_numpy(), batch.column("id").to_numpy(), batch.column("n").to_numpy(), points]
+        if held:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        end = int(np.searchsorted(now[0], now[0][-1]))  # the last block may go on in the next batch
+        if end:
+            yield from edges(*[x[:end] for x in now])
+        held = [x[end:] for x in now]
+    if held:
+        yield from edges(*held)
 
 
 # ---- the R-tree and the join of a tile -------------------------------------------
@@ -172,6 +241,23 @@ class CountTree:
         return self.order[at[good][np.argsort(-bound[good], kind="stable")]]
 
 
+class Forest:
+    """Connected ids; the smallest is the root."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+
+
 class Tile:
     """The documents that one task compares."""
 
@@ -187,22 +273,12 @@ class Tile:
 
     def stars(self) -> Iterator[tuple[int, int]]:
         """Links found, as edges from each document to the smallest id it is connected with here."""
-        up = {}
-
-        def root(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        def join(x: int, y: int) -> None:
-            x, y = root(x), root(y)
-            up[max(x, y)] = min(x, y)
-
+        forest = Forest()
+        root, join = forest.root, forest.join
         for doc_id, label in zip(self.ids, self.labels):
             join(doc_id, label)
         sizes = np.array([len(s) for s in self.sets])
-        counts = np.array([np.bincount((s >> np.uint64(32) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                           for s in self.sets], np.int32)
+        counts = np.array([group_counts(s) for s in self.sets])
         right = np.flatnonzero(self.right)
         if len(right):
             tree = CountTree(counts[right], sizes[right])
@@ -290,7 +366,7 @@ def _labels(edges: DataFrame) -> DataFrame:
     return resolve_clusters(edges, "a", "b").select(F.col("node").alias("id"), F.col("job_id").alias("label"))
 
 
-def components(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def components(docs: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
     points = materialize(_points(docs), "points")
     totals = points.where("counts is not null").select(F.posexplode("counts").alias("group", "c")).groupBy("group").agg(
@@ -301,7 +377,7 @@ def components(docs: DataFrame, tile: int = TILE) -> DataFrame:
     rows = points.where("counts is null").drop("counts")
     full = rows.where("doc_id is not null and n > 0")
     classes = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"))
-    meetings = materialize(_meetings(docs, counts), "meetings")
+    meetings = _meetings(docs, counts, block)
     sizes = classes.groupBy("id").agg(F.max("n").alias("n"))
     links = _links(meetings, sizes, docs, tile)
     # A document with several texts stands in several classes and connects them.

@@ -10,8 +10,9 @@ similarity is at least 0.8. The join is exact and goes in four steps.
 3. Shingles are also hashed into ``GROUPS`` groups and the group counts are points of an
    R-tree, one for the documents that meet at a shingle. The summed coordinate minima of a
    point and a node's upper corner bound the overlap with everything below it; nodes and
-   points under the overlap that a link needs are passed over. Connected components of the
-   surviving pairs hold all possible links. (Where more than ``BLOCK`` documents meet at a
+   points under the overlap that a link needs are passed over. Pairs of long documents are
+   bounded once more on ``FINE`` groups, as few groups tell them less apart. Connected
+   components of the surviving pairs hold all possible links. (Where more than ``BLOCK`` documents meet at a
    shingle, neighbours in size become edges instead, which holds no less.)
 4. Surviving pairs of a component are verified on the whole shingle sets, bounded first by the
    R-tree again; pairs that are connected already are passed over.
@@ -43,7 +44,9 @@ WIDTH = 5
 GROUPS = 128
 FULL = 65_535  # a count of this or more
 COUNTERS = 1 << 16
+LONG, FINE, FULL_FINE = 1024, 4096, 255
 LEAF = 32
+PAIRS = 512
 BLOCK = 20_000
 TILE = 2_000_000  # shingles held together by one task
 
@@ -99,9 +102,9 @@ def _points(docs: DataFrame) -> DataFrame:
         read, "doc_id long, n long, d1 long, d2 long, counts array<long>")
 
 
-def group_counts(own: np.ndarray) -> np.ndarray:
+def group_counts(own: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """The point of a set: how many of its shingles fall into each group."""
-    return np.bincount((own >> np.uint64(32) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return np.bincount((own >> np.uint64(32) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -112,7 +115,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, often = WordHashes(), shared.value
         for batch in batches:
-            firsts, digests, sizes, points = [], [], [], []
+            firsts, digests, sizes, points, fine = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(hashes, text)
                 n = len(own)
@@ -121,24 +124,26 @@ def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 digests.append(xxhash.xxh3_128_intdigest(own.tobytes()))
                 sizes.append(n)
                 points.append(np.minimum(group_counts(own), FULL).astype(np.uint16).tobytes())
+                fine.append(np.minimum(group_counts(own, FINE), FULL_FINE).astype(np.uint8).tobytes() if n >= LONG else None)
             half = np.array([[d >> 64, d & (1 << 64) - 1] for d in digests], np.uint64).reshape(-1, 2).view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
             flat = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(half[:, 0]), pa.array(half[:, 1]),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(points, pa.binary())],
-                ["doc_id", "n", "d1", "d2", "keys", "point"])
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(points, pa.binary()),
+                 pa.array(fine, pa.binary())], ["doc_id", "n", "d1", "d2", "keys", "point", "fine"])
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     return known.mapInArrow(
-        read, "doc_id long, n long, d1 long, d2 long, keys array<long>, point binary").where("n > 0").groupBy(
-        "d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("point").alias("point"))
+        read, "doc_id long, n long, d1 long, d2 long, keys array<long>, point binary, fine binary").where("n > 0").groupBy(
+        "d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("point").alias("point"),
+        F.first("fine").alias("fine"))
 
 
 def _meetings(docs: DataFrame, counts: np.ndarray, block: int) -> DataFrame:
     """Edges whose components hold every link. Where neighbours in size at a shared shingle
     differ too much, so does everything on either side of them."""
-    sets = materialize(_prefixes(docs, counts).select("id", "n", "keys", "point"), "prefixes")
+    sets = materialize(_prefixes(docs, counts).select("id", "n", "keys", "point", "fine"), "prefixes")
     at_key = Window.partitionBy("key")
     by_size = at_key.orderBy("n", "id")
     meet = (
@@ -154,8 +159,27 @@ def _meetings(docs: DataFrame, counts: np.ndarray, block: int) -> DataFrame:
         F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b"))
     points = sets.select("id", "n", "point")
     met = meet.where(F.col("c") <= block).select("id", "n", "key").join(points, ["id", "n"])
-    near = met.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(_survivors, "a long, b long")
-    return near.unionByName(crowded).where("a <> b").distinct()
+    near = materialize(met.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(
+        _survivors, "a long, b long, long boolean").where("a <> b").distinct(), "near")
+    fine = sets.where("fine is not null").groupBy("id").agg(F.max("fine").alias("fine"), F.count(F.lit(1)).alias("texts"))
+    left, right = (fine.select(F.col("id").alias(x), F.col("fine").alias(f"fine_{x}"), F.col("texts").alias(f"texts_{x}"))
+                   for x in "ab")
+    pairs = near.where("long").join(left, "a").join(right, "b").mapInArrow(_refined, "a long, b long")
+    return near.where("not long").select("a", "b").unionByName(pairs).unionByName(crowded.where("a <> b")).distinct()
+
+
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of long documents that the bound on ``FINE`` groups lets pass. An id with
+    several texts has several points, and its pairs pass unseen."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE) for c in ("fine_a", "fine_b"))
+        both, least = one.sum(1, dtype=np.int64) + two.sum(1, dtype=np.int64), np.minimum(one, two)
+        full = (least == FULL_FINE).any(1) | (one == FULL_FINE).any(1) | (two == FULL_FINE).any(1)
+        several = (batch.column("texts_a").to_numpy() > 1) | (batch.column("texts_b").to_numpy() > 1)
+        good = full | several | (least.sum(1, dtype=np.int64) >= needed(both))
+        yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,17 +199,25 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fits = sizes[x] * 5 >= sizes[y] * 4
             x, y = x[fits], y[fits]
             good = np.minimum(points[x], points[y]).sum(1) >= needed(sizes[x] + sizes[y])
-            x, y = ids[x[good]], ids[y[good]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            x, y = x[good], y[good]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])),
+                pa.array((sizes[x] >= LONG) & (sizes[y] >= LONG))], ["a", "b", "long"])
         for first, length in zip(starts[lengths > LEAF], lengths[lengths > LEAF]):
             own, forest = slice(first, first + length), Forest()
             tree, names = CountTree(points[own], sizes[own]), ids[own].tolist()
+            pairs = []
             for i in range(length):
-                for j in tree.probe(points[first + i], int(sizes[first + i])).tolist():
-                    forest.join(names[i], names[j])
-            stars = [(forest.root(x), x) for x in dict.fromkeys(names)]
-            yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in stars], pa.int64()),
-                                              pa.array([s[1] for s in stars], pa.int64())], ["a", "b"])
+                x, n = names[i], int(sizes[first + i])
+                for j in tree.probe(points[first + i], n).tolist():
+                    if length <= PAIRS and n >= LONG and sizes[first + j] >= LONG:
+                        if j > i:
+                            pairs.append((min(x, names[j]), max(x, names[j]), True))
+                    else:
+                        forest.join(x, names[j])
+            pairs += [(forest.root(x), x, False) for x in dict.fromkeys(names)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("a", "b", "long"), p)) for p in pairs], pa.schema(
+                [("a", pa.int64()), ("b", pa.int64()), ("long", pa.bool_())]))
 
     held = None
     for batch in batches:

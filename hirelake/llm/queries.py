@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from hirelake.llm import jaccard, language, mixing, sharding, tiling
+from hirelake.llm import attention, bayes, jaccard, language, materialise, mixing, nearest, pii, sharding, tiling
 from hirelake.llm.words import table
+from hirelake.session import fresh_dir
 
 
 def op1_decontamination(spark, sf):
     return tiling.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op2_quality(spark, sf):
+    """A document's host is its source, its path the language section of that source."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "text")
+    return bayes.quality(docs, table(spark, sf, "labels"))
+
+
+def op3_nearest(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest.nearest(vectors, vectors.where("id % 20 = 0"))
+
+
 def op4_mix_sources(spark, sf):
     return mixing.mixing_plan(table(spark, sf, "documents"))
 
@@ -19,16 +34,30 @@ def op5_ngram_jaccard(spark, sf):
     return jaccard.components(table(spark, sf, "documents"))
 
 
+def op6_pii(spark, sf):
+    return pii.find_pii(table(spark, sf, "documents"))
+
+
 def op7_language(spark, sf):
     return language.identify(table(spark, sf, "documents"))
 
 
+def op8_training_order(spark, sf):
+    docs = table(spark, sf, "documents")
+    return materialise.write_shards(docs, fresh_dir(spark, "training-order"))
+
+
+def op9_lm_score(spark, sf):
+    return attention.score(table(spark, sf, "documents"))
+
+
 def op10_sharding(spark, sf):
     return sharding.shard_documents(table(spark, sf, "documents"))
 
 
 QUERIES = {f.__name__: f for f in [
-    op1_decontamination, op4_mix_sources, op5_ngram_jaccard, op7_language, op10_sharding,
+    op1_decontamination, op2_quality, op3_nearest, op4_mix_sources, op5_ngram_jaccard, op6_pii, op7_language,
+    op8_training_order, op9_lm_score, op10_sharding,
 ]}
 QUERIES["pipeline"] = corpus_pipeline.run
 

@@ -100,9 +100,9 @@ def with_evidence(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return lean.mapInArrow(run, schema)
 
 
-def strength(sites: DataFrame, total: str, count: str, centre: Column) -> Column:
+def strength(total: str, count: str, centre: Column) -> Column:
     """How many documents the prior is worth: from the spread of site means around their
-    centre beyond what their counts explain. An aggregate expression over ``sites``."""
+    centre beyond what their counts explain. An aggregate expression over sites."""
     mean = F.col(total) / F.col(count)
     chance = centre * (1 - centre) / F.col(count)
     between = F.avg((mean - centre) ** 2 - chance)
@@ -120,22 +120,21 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = FITTED) -> DataFrame
     scores = materialize(with_evidence(docs, fitted(docs, labels, rows)), "evidence")
     paths = scores.groupBy("host", "path").agg(F.sum("p_doc").alias("path_sum"), F.count(F.lit(1)).alias("path_n"))
     hosts = paths.groupBy("host").agg(F.sum("path_sum").alias("host_sum"), F.sum("path_n").alias("host_n"))
-    overall = hosts.agg(F.sum("host_sum").alias("s"), F.sum("host_n").alias("n")).select((F.col("s") / F.col("n")).alias("p_all"))
-    hosts = hosts.crossJoin(F.broadcast(overall))  # one row
-    hosts = hosts.crossJoin(F.broadcast(hosts.agg(strength(hosts, "host_sum", "host_n", F.col("p_all")).alias("host_prior"))))
+    # Three numbers for the whole corpus come to the driver.
+    overall = hosts.agg((F.sum("host_sum") / F.sum("host_n")).alias("p")).first().p
+    p_all = F.lit(0.5 if overall is None else overall)
+    host_prior = F.lit(hosts.agg(strength("host_sum", "host_n", p_all)).first()[0])
+    centre = (F.col("host_sum") + host_prior * p_all) / (F.col("host_n") + host_prior)
     inside = paths.join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")))
-    inside = inside.withColumn(
-        "_centre", (F.col("host_sum") + F.col("host_prior") * F.col("p_all")) / (F.col("host_n") + F.col("host_prior")))
-    sites = inside.crossJoin(F.broadcast(inside.agg(strength(inside, "path_sum", "path_n", F.col("_centre")).alias("path_prior"))))
-    sites = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "path_sum", "path_n", "host_sum", "host_n", "p_all",
-                         "host_prior", "path_prior")
+    path_prior = F.lit(inside.agg(strength("path_sum", "path_n", centre)).first()[0])
+    sites = inside.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "path_sum", "path_n", "host_sum", "host_n")
     joined = scores.join(sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
     others = lambda name: F.col(f"{name}_sum") - F.col("p_doc")
     return (
-        joined.withColumn("p_host", (others("host") + F.col("host_prior") * F.col("p_all"))
-                          / (F.col("host_n") - 1 + F.col("host_prior")))
-        .withColumn("p_path", (others("path") + F.col("path_prior") * F.col("p_host"))
-                    / (F.col("path_n") - 1 + F.col("path_prior")))
-        .withColumn("p_quality", 1 / (1 + F.exp(-(logit(F.col("p_doc")) + logit(F.col("p_path")) - logit(F.col("p_all"))))))
+        joined.withColumn("p_host", (others("host") + host_prior * p_all)
+                          / (F.col("host_n") - 1 + host_prior))
+        .withColumn("p_path", (others("path") + path_prior * F.col("p_host"))
+                    / (F.col("path_n") - 1 + path_prior))
+        .withColumn("p_quality", 1 / (1 + F.exp(-(logit(F.col("p_doc")) + logit(F.col("p_path")) - logit(p_all)))))
         .select("doc_id", "host", "path", "p_doc", "p_host", "p_path", "p_quality", (F.col("p_quality") >= 0.5).alias("keep"))
     )

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hirelake.llm.feistel import permuted
 from hirelake.llm.subwords import VOCABULARY, Subwords
-from hirelake.session import materialize
+from hirelake.session import fresh_dir
 
 LENGTH = 2048
 PER_SHARD = 4096
@@ -38,7 +38,7 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH)
     shared = docs.sparkSession.sparkContext.broadcast(Subwords(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, press, part = shared.value, zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+        subwords, part = shared.value, TaskContext.get().partitionId()
         end = np.array([subwords.end], np.uint16)
         rest, at = np.empty(0, np.uint16), 0
 
@@ -50,8 +50,7 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part] * many, pa.int32()), pa.array(range(at, at + many), pa.int64()),
                  pa.array([length] * (many - 1) + [real], pa.int32()), pa.array(ends, pa.int32()),
-                 # Low bytes, then high bytes: alike bytes side by side compress better.
-                 pa.array([press.compress(x.view(np.uint8).reshape(-1, 2).T.tobytes()) for x in ids], pa.binary())], ["part", "at", "n_tokens", "n_docs", "body"])
+                 pa.array([x.tobytes() for x in ids], pa.binary())], ["part", "at", "n_tokens", "n_docs", "body"])
             at += many
             return out
 
@@ -70,6 +69,14 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH)
     return docs.select("text").mapInArrow(run, "part int, at long, n_tokens int, n_docs int, body binary")
 
 
+def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their bodies compressed one by one."""
+    press = zstandard.ZstdCompressor(level=6)
+    for batch in batches:
+        at = batch.schema.get_field_index("body")
+        yield batch.set_column(at, "body", pa.array([press.compress(b) for b in batch.column(at).to_pylist()], pa.binary()))
+
+
 def in_order(sequences: DataFrame, seed: int) -> DataFrame:
     """Give every sequence its ``slot``. The window and the broadcast see one row of two
     numbers for each task of the packing stage, never sequences."""
@@ -87,9 +94,13 @@ def write_shards(docs: DataFrame, path: str, seed: int = 20_240_101, vocabulary:
     """Write the shards below ``path``, a folder that all executors share, and return a row
     for every sequence: ``slot, shard, offset`` (in bytes), ``n_tokens``,
     ``n_docs`` (that end in it) and ``crc32``."""
-    sequences = materialize(packed(docs, vocabulary, length), "packed")
+    # Neighbours compress best together, so the table is pressed by its pages; in the shuffle each is alone.
+    packed_at = fresh_dir(docs.sparkSession, "packed")
+    packed(docs, vocabulary, length).write.option("compression", "zstd").parquet(packed_at)
+    sequences = docs.sparkSession.read.parquet(packed_at)
     placed = in_order(sequences, seed).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     lean = placed.select("slot", "shard", "n_tokens", "n_docs", "body")
+    lean = lean.mapInArrow(pressed, lean.schema)
     stride = length * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +121,7 @@ def write_shards(docs: DataFrame, path: str, seed: int = 20_240_101, vocabulary:
                     now, name = shard, f"{folder}/_writing-{shard:08d}-{uuid.uuid4().hex}"
                     system.create_dir(folder, recursive=True)
                     out = system.open_output_stream(name)
-                ids = np.frombuffer(unpress.decompress(body, max_output_size=stride), np.uint8).reshape(2, -1).T.tobytes()
+                ids = unpress.decompress(body, max_output_size=stride)
                 out.write(ids)
                 sums.append(zlib.crc32(ids))
             yield pa.RecordBatch.from_arrays(

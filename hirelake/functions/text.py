@@ -1,7 +1,7 @@
 """Scalar normalization of posting fields as native column expressions.
 
-Nothing here is a Python UDF, so filters on the results still reach the scan and
-every projection stays inside whole-stage codegen.
+Nothing here is a Python UDF. Higher-order functions (``transform``, ``filter``) are
+interpreted inside the generated code; the others are compiled.
 """
 
 from __future__ import annotations
@@ -37,15 +37,32 @@ ENTITIES = {
     "&middot;": "·",
     "&amp;": "&",
 }
-HOURS_PER_YEAR = 2080
+# Paid units in a year.
+UNITS_PER_YEAR = {"hour": 2080, "day": 260, "week": 52, "month": 12}
+# How the units are written.
+UNIT_WORDS = {"hour": "hour|hr|h", "day": "day", "week": "week|wk", "month": "month|mo"}
+UNIT_ADVERBS = {"hour": "hourly", "day": "daily", "week": "weekly", "month": "monthly"}
+# Query parameters that say where a click came from, not which job it is.
+TRACKING = "utm_[^=&]*|gclid|fbclid|msclkid|ref"
 
 WORD_BREAK = r"[^\p{L}]+"
 NOT_ALNUM = r"[^\p{L}\p{N}+#]+"
-URL_HEAD = r"^(?:\s|[a-z][a-z0-9+.-]*://|(?:www|m)\.)+"
+URL_HEAD = r"^(?:\s|[a-z][a-z0-9+.-]*://)+"
+URL_SITE = r"^(?:(?:www|m)\.)+([^/?#:\s]*\.)"  # only where a domain with a dot remains
 URL_TAIL = r"(?:\s|/|\.html?)+$"
-AMOUNT = r"[0-9][0-9,]*(?:\.[0-9]+)? *k?"
-THOUSANDS = r"[0-9] *k([^a-z]|$)"
-HOURLY = r"hour|/ *hr|/ *h([^a-z]|$)"
+AMOUNT = r"[0-9]+(?:[.,][0-9]+)*(?: *k\b)?"
+CURRENCY = r"(?:[$€£]|\b(?:usd|eur|gbp|chf)\b)"
+_RANGE = rf"{AMOUNT}(?: *(?:-|–|—|to) *{CURRENCY}? *{AMOUNT})?"
+# Amounts beside a currency, or in thousands; other numbers of such a text are not pay.
+PAY = rf"{CURRENCY} *{_RANGE}|{_RANGE} *{CURRENCY}|{AMOUNT} *(?:-|–|—|to) *[0-9]+(?:[.,][0-9]+)* *k\b|[0-9]+(?:[.,][0-9]+)* *k\b"
+THOUSANDS = r"[0-9] *k\b"
+
+
+def paid_per(unit: str) -> str:
+    """A pattern for an amount followed by its unit, or a named rate."""
+    words, adverb = UNIT_WORDS[unit], UNIT_ADVERBS[unit]
+    return (rf"[0-9] *k?(?: *{CURRENCY})? *(?:(?:per|an?|each|/) *(?:{words})\b|{adverb}\b)"
+            rf"|\b{adverb} (?:pay|rate|salary|wage)")
 
 
 def _column(c) -> Column:
@@ -53,9 +70,15 @@ def _column(c) -> Column:
 
 
 def canonical_url(c) -> Column:
-    """Scheme, ``www.``/``m.``, query, fragment, trailing slash and ``.html`` removed."""
-    url = F.regexp_replace(F.lower(_column(c)), r"[?#].*$", "")
-    return F.regexp_replace(F.regexp_replace(url, URL_HEAD, ""), URL_TAIL, "")
+    """Scheme, ``www.``/``m.``, fragment, trailing slash, ``.html`` and tracking parameters
+    removed; the other parameters, which may name the job, are kept in order of their text."""
+    url = F.regexp_replace(F.lower(_column(c)), r"#.*$", "")
+    path = F.regexp_replace(F.regexp_replace(url, r"\?.*$", ""), URL_HEAD, "")
+    path = F.regexp_replace(F.regexp_replace(path, URL_SITE, "$1"), URL_TAIL, "")
+    query = F.trim(F.regexp_extract(url, r"\?(.*)$", 1))
+    telling = F.regexp_replace(query, rf"(?<=^|&) *(?:{TRACKING})(?:=[^&]*)? *(?=&|$)", "")
+    kept = F.array_join(F.array_sort(F.array_remove(F.split(F.trim(telling), " *& *"), "")), "&")
+    return F.when(F.coalesce(kept, F.lit("")) == "", path).otherwise(F.concat(path, F.lit("?"), kept))
 
 
 def posting_key(source, external_id) -> Column:
@@ -94,18 +117,29 @@ def _let(value: Column, body) -> Column:
 
 
 def parse_comp(c) -> Column:
-    """Yearly ``struct<min, max>`` from free text; nulls when it holds no amount."""
+    """Yearly ``struct<min, max>`` from free text; nulls when it holds no amount.
+
+    Amounts beside a currency or in thousands count; only a text without any is read for
+    bare numbers. A point or comma before three digits groups thousands.
+    """
 
     def amounts(text: Column) -> Column:
         def amount(found: Column, in_thousands: Column) -> Column:
-            value = F.regexp_replace(found, "[^0-9.]", "").try_cast("double")
+            whole = F.regexp_replace(F.regexp_replace(found, r"[.,]([0-9]{3})\b", "$1"), ",", ".")
+            value = F.regexp_replace(whole, "[^0-9.]", "").try_cast("double")
             return F.when(in_thousands & (value < 1000), value * 1000.0).otherwise(value)
 
-        found = F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0))
-        return _let(text.rlike(THOUSANDS), lambda k: F.transform(found, lambda x: amount(x, k)))
+        def found(pay: Column) -> Column:
+            each = F.regexp_extract_all(pay, F.lit(AMOUNT), F.lit(0))
+            return _let(pay.rlike(THOUSANDS), lambda k: F.transform(each, lambda x: amount(x, k)))
+
+        marked = F.array_join(F.regexp_extract_all(text, F.lit(PAY), F.lit(0)), " ; ")
+        return _let(F.when(marked != "", marked).otherwise(text), found)
 
     def spread(text: Column) -> Column:
-        factor = F.when(text.rlike(HOURLY), F.lit(float(HOURS_PER_YEAR))).otherwise(F.lit(1.0))
+        factor = F.lit(1.0)
+        for unit, many in reversed(UNITS_PER_YEAR.items()):
+            factor = F.when(text.rlike(paid_per(unit)), F.lit(float(many))).otherwise(factor)
         return _let(amounts(text), lambda a: F.struct(
             (F.array_min(a) * factor).alias("min"), (F.array_max(a) * factor).alias("max")))
 

@@ -27,11 +27,13 @@ Tier = Callable[[DataFrame], DataFrame]
 
 def group_edges(df: DataFrame, keys: list[str], tier: str, row_id: str = "posting_id",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Link every row to the smallest id that has the same non-null keys.
+    """Link every row to the smallest id that has the same keys, none of them null or empty.
 
     ``min`` is combined map-side, and only keys with two or more rows join back.
     """
-    present = df.select(row_id, *keys).where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    kinds = dict(df.dtypes)
+    filled = [F.col(k) != "" if kinds[k] == "string" else F.col(k).isNotNull() for k in keys]
+    present = df.select(row_id, *keys).where(reduce(and_, filled))
     first = (
         present.groupBy(*keys).agg(F.min(row_id).alias("dup_of"), F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > 1)

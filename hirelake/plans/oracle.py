@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from hirelake.functions.text import ENTITIES, LEGAL_SUFFIXES, TITLE_ABBREVIATIONS
+from hirelake.functions.text import (
+    AMOUNT, ENTITIES, LEGAL_SUFFIXES, PAY, THOUSANDS, TITLE_ABBREVIATIONS, TRACKING, UNITS_PER_YEAR, paid_per)
 from hirelake.operators.copilot import ALLOWED_MOVES, STATUSES
 from hirelake.plans.roles import COMPANY_STYLE, STATUS_OF_EVENT
 
@@ -18,9 +19,13 @@ def _str(s: str) -> str:
 # ---- scalar twins ------------------------------------------------------------------
 
 def _url(c: str) -> str:
-    bare = f"regexp_replace(lower({c}), '[?#].*$', '')"
-    head = f"regexp_replace({bare}, '^(\\s|[a-z][a-z0-9+.-]*://|(www|m)\\.)+', '')"
-    return f"regexp_replace({head}, '(\\s|/|\\.html?)+$', '')"
+    bare = f"regexp_replace(lower({c}), '#.*$', '')"
+    head = f"regexp_replace(regexp_replace({bare}, '\\?.*$', ''), '^(\\s|[a-z][a-z0-9+.-]*://)+', '')"
+    site = f"regexp_replace({head}, '^((www|m)\\.)+([^/?#:\\s]*\\.)', '\\3')"
+    path = f"regexp_replace({site}, '(\\s|/|\\.html?)+$', '')"
+    each = f"list_transform(string_split(regexp_extract({bare}, '\\?(.*)$', 1), '&'), lambda p: trim(p))"
+    kept = f"list_sort(list_filter({each}, lambda p: p <> '' AND NOT regexp_matches(p, '^({TRACKING}) *(=|$)')))"
+    return f"({path} || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END)"
 
 
 def _words(c: str) -> str:
@@ -48,12 +53,14 @@ def _level(c: str) -> str:
 
 def _comp(c: str, pick: str) -> str:
     t = f"lower({c})"
-    k = f"regexp_matches({t}, '[0-9] *k([^a-z]|$)')"
-    factor = f"CASE WHEN regexp_matches({t}, 'hour|/ *hr|/ *h([^a-z]|$)') THEN 2080.0 ELSE 1.0 END::DOUBLE"
-    value = "CAST(regexp_replace(x, '[^0-9.]', '', 'g') AS DOUBLE)"
-    amounts = (f"list_transform(regexp_extract_all({t}, '[0-9][0-9,]*(?:\\.[0-9]+)? *k?'), "
-               f"lambda x: CASE WHEN {k} AND {value} < 1000 THEN {value} * 1000.0 ELSE {value} END)")
-    return f"({pick}({amounts}) * ({factor}))"
+    marked = f"regexp_extract_all({t}, {_str(PAY)})"
+    pay = f"CASE WHEN len({marked}) > 0 THEN array_to_string({marked}, ' ; ') ELSE {t} END"
+    units = " ".join(f"WHEN regexp_matches({t}, {_str(paid_per(u))}) THEN {n}.0" for u, n in UNITS_PER_YEAR.items())
+    whole = "replace(regexp_replace(x, '[.,]([0-9]{3})\\b', '\\1', 'g'), ',', '.')"
+    value = f"TRY_CAST(regexp_replace({whole}, '[^0-9.]', '', 'g') AS DOUBLE)"
+    amounts = (f"list_transform(regexp_extract_all({pay}, {_str(AMOUNT)}), lambda x: CASE WHEN "
+               f"regexp_matches({pay}, {_str(THOUSANDS)}) AND {value} < 1000 THEN {value} * 1000.0 ELSE {value} END)")
+    return f"({pick}({amounts}) * (CASE {units} ELSE 1.0 END::DOUBLE))"
 
 
 def _tokens(c: str) -> str:
@@ -144,8 +151,8 @@ EXPLAINED = f"""{BEST5}, ex AS (SELECT profile_id, job_id, score, rank,
 
 
 def _edges(view: str, keys: list[str], tier: str, where: str = "true") -> str:
-    """Rows of a view linked to the smallest id with the same non-null keys."""
-    present = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    """Rows of a view linked to the smallest id with the same keys, none of them null or empty."""
+    present = " AND ".join(f"{k} IS NOT NULL AND {k} <> ''" for k in keys)
     return (f"SELECT posting_id, dup_of, '{tier}' AS tier FROM (SELECT posting_id, min(posting_id) OVER "
             f"(PARTITION BY {', '.join(keys)}) AS dup_of FROM {view} WHERE {present} AND {where}) "
             f"WHERE posting_id <> dup_of")

@@ -73,6 +73,29 @@ def test_approximate_results_are_allowed_and_correctly_scored(spark):
     assert hits / sum(map(len, best.values())) >= 0.9
 
 
+def test_rows_without_a_vector_take_no_part(spark):
+    _, _, a, b = frames(spark)
+    holes = [(900, None, "x", 60.0), (901, [], "y", 60.0), (902, [1.0, None, 0.0, 0.0, 0.0, 0.0], "x", 60.0)]
+    more_jobs = spark.createDataFrame(holes, JOBS).unionByName(b)
+    more_people = spark.createDataFrame(holes, PEOPLE).unionByName(a)
+    want = ranking(match.match(a, b, 4, WISH))
+    assert ranking(match.match(more_people, more_jobs, 4, WISH)) == want
+    assert ranking(match.match_tiled(more_people, more_jobs, 4, WISH, tile_rows=9)) == want
+    assert ranking(match.match_ann(more_people, more_jobs, 4, WISH)) == ranking(match.match_ann(a, b, 4, WISH))
+
+
+def test_approximate_recall_holds_with_size(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 16))
+    rows = [(i, (centres[i % 40] + 0.6 * rng.standard_normal(16)).tolist()) for i in range(20_000)]
+    jobs = spark.createDataFrame(rows, "job_id bigint, embedding array<double>").repartition(8)
+    people = jobs.where("job_id < 50").withColumnRenamed("job_id", "profile_id")
+    for share in (jobs.where("job_id % 10 = 0"), jobs):
+        best = {(r.profile_id, r.job_id) for r in match.match(people, share, 10).collect()}
+        near = {(r.profile_id, r.job_id) for r in match.match_ann(people, share, 10).collect()}
+        assert len(best & near) / len(best) >= 0.95
+
+
 def test_empty_sides(spark):
     _, _, a, b = frames(spark)
     assert match.top_matches(a.limit(0), b, 3).count() == 0

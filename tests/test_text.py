@@ -18,6 +18,16 @@ def test_canonical_url(spark):
     assert got == ["example.com/jobs/1"] * 3 + ["10.0.0.1:8080/a", None, "", "example.com/jobs/1"]
 
 
+def test_canonical_url_keeps_what_names_the_job(spark):
+    got = values(spark, [
+        "https://a.com/jobs?id=1", "https://a.com/jobs?id=2", "https://a.com/jobs/?utm_medium=x&id=2&gclid=7#t",
+        "a.com/j?b=2&a=1&ref=home", "a.com/j?a=1&b=2", "http://m.co/1", "http://co/1", "http://www.m.co/1",
+        "a.com/j?reference=4", "https://", "a.com/?gclid &x",
+    ], tx.canonical_url)
+    assert got == ["a.com/jobs?id=1", "a.com/jobs?id=2", "a.com/jobs?id=2", "a.com/j?a=1&b=2", "a.com/j?a=1&b=2",
+                   "m.co/1", "co/1", "m.co/1", "a.com/j?reference=4", "", "a.com?x"]
+
+
 def test_titles_and_companies(spark):
     assert values(spark, ["Sr.  Software Eng (m/f/d)", "SENIOR software engineer", "Jr Dev", "Köchin/Koch", "", None],
                   tx.norm_title) == ["senior software engineer", "senior software engineer", "junior developer",
@@ -29,7 +39,11 @@ def test_titles_and_companies(spark):
 @pytest.mark.parametrize("text, low, high", [
     ("$120k–150k", 120_000.0, 150_000.0), ("120,000", 120_000.0, 120_000.0), ("$120-150k", 120_000.0, 150_000.0),
     ("$50 per hour", 104_000.0, 104_000.0), ("competitive", None, None), ("", None, None), (None, None, None),
-    ("from 90,000.50 a year", 90_000.5, 90_000.5),
+    ("from 90,000.50 a year", 90_000.5, 90_000.5), ("$8,000 per month", 96_000.0, 96_000.0),
+    ("$400 per day", 104_000.0, 104_000.0), ("$2k a week", 104_000.0, 104_000.0), ("90.000 EUR", 90_000.0, 90_000.0),
+    ("$120k plus 5 weeks vacation", 120_000.0, 120_000.0), ("$30/hour, 40 hours", 62_400.0, 62_400.0),
+    ("45,50 € / hr", 94_640.0, 94_640.0), ("$100k, 4 days a week", 100_000.0, 100_000.0),
+    ("monthly salary: €5.000 to €6.000", 60_000.0, 72_000.0),
 ])
 def test_comp(spark, text, low, high):
     assert values(spark, [text], tx.parse_comp) == [(low, high)]
@@ -64,7 +78,7 @@ printable = st.text(alphabet=st.characters(min_codepoint=32, max_codepoint=0x17F
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.one_of(printable, st.sampled_from(["http://www.http://a.html/.html", "Sr. Sr", "A Inc. Ltd"])),
+@given(st.lists(st.one_of(printable, st.sampled_from(["http://www.http://a.html/.html", "Sr. Sr", "A Inc. Ltd", "m.m.co?b &a&ref", "x?a?b&&"])),
                 min_size=1, max_size=30))
 def test_normal_forms_are_stable(spark, items):
     for f in (tx.canonical_url, tx.norm_title):

@@ -55,9 +55,13 @@ def source_paced(spark, sf):
 
 
 def source_incremental(spark, sf):
-    name = adapters.register_source(spark, "stream_board", adapters.LandedParquet(_landed(spark, sf)))
-    path, checkpoint = fresh_dir(spark, "ingested"), fresh_dir(spark, "ingest-checkpoint")
-    flows.ingest_stream(spark, name, path, checkpoint).awaitTermination()
+    """Two pulls; what lands between them has the smaller folder name."""
+    landed, path, checkpoint = (fresh_dir(spark, x) for x in ("landed", "ingested", "ingest-checkpoint"))
+    raw = roles.raw_postings(spark, sf)
+    early = F.pmod(F.xxhash64("source", "external_id"), F.lit(2)) == 0
+    for folder, part in (("part=b", early), ("part=a", ~early)):
+        raw.where(part).write.parquet(f"{landed}/{folder}")
+        flows.ingest_files(spark, f"{landed}/*", raw.schema, path, checkpoint).awaitTermination()
     return _raw_view(spark.read.parquet(path))
 
 
@@ -172,8 +176,7 @@ def parse_comp(spark, sf):
 def norm_location(spark, sf):
     nation = roles.table(spark, sf, "nation")
     region = roles.table(spark, sf, "region")
-    aliases = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).where(
-        F.col("r_name") != "EUROPE").select(
+    aliases = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("alias"),
         F.concat_ws("/", "r_name", "n_name").alias("place"))
     people = roles.table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
@@ -284,7 +287,7 @@ def seen(spark, sf):
 
 def seen_update(spark, sf):
     obs = roles.observations(spark, sf)
-    returned = F.col("comp") > 50_000  # the two parts together are the whole history
+    returned = F.pmod(F.xxhash64("seen_at"), F.lit(2)) == 0  # the two parts together are the whole history
     before = materialize(freshness.seen(obs.where(returned)), "snapshot")
     return _text(freshness.seen_update(before, obs.where(~returned)), "first_seen", "last_seen")
 
@@ -405,7 +408,7 @@ def match_feed(spark, sf):
     path, checkpoint = fresh_dir(spark, "feed"), fresh_dir(spark, "feed-checkpoint")
     people = roles.vector_profiles(spark, sf)
     flows.match_feed(jobs, people, 5, 0.25, path, checkpoint, OTHERS).awaitTermination()
-    return spark.read.parquet(path).select("profile_id", "job_id", "score", "rank")
+    return flows.read_feed(spark, path).select("profile_id", "job_id", "score", "rank")
 
 
 # ---- copilot ---------------------------------------------------------------------------
@@ -462,7 +465,7 @@ def due_reminders(spark, sf):
 def reminder_stream(spark, sf):
     schema = roles.table(spark, sf, "events").schema
     events = flows.file_stream(spark, sf, schema, name_glob="events.parquet")
-    out = flows.drain(flows.reminder_stream(roles.as_applications(events), 7, "1 day"), "reminders")
+    out = flows.drain(flows.reminder_stream(roles.as_applications(events), 7, "0 seconds"), "reminders")
     return _text(out, "since", pattern=MICROS)
 
 
@@ -522,7 +525,8 @@ def throughput_stream(spark, sf):
     schema = roles.table(spark, sf, "events").schema
     events = flows.file_stream(spark, sf, schema, name_glob="events.parquet").select(
         "ts", F.col("event_type").alias("source"))
-    return _text(flows.drain(flows.throughput_stream(events, "1 hour", "2 hours"), "throughput"), "window_start")
+    updates = flows.drain(flows.throughput_stream(events, "1 hour", "2 hours"), "throughput", "update")
+    return _text(updates.groupBy("window_start", "source").agg(F.max("n").alias("n")), "window_start")
 
 
 def latency(spark, sf):

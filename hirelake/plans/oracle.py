@@ -220,8 +220,7 @@ SQL: dict[str, str] = {
       FROM customer), r AS (SELECT c_custkey, CASE s WHEN 0 THEN '$' || low || 'k–' || (low + 5) || 'k'
       WHEN 1 THEN 'from ' || format('{{:,}}', low) || ' a year' WHEN 2 THEN low || '.50 / hr' ELSE 'competitive' END
       AS t FROM c) SELECT c_custkey, {_comp('t', 'list_min')} AS comp_min, {_comp('t', 'list_max')} AS comp_max FROM r""",
-    "norm_location": """SELECT c_custkey, CASE WHEN r_name <> 'EUROPE' THEN r_name || '/' || n_name
-      ELSE lower(replace(n_name, '_', ' ')) END AS location_norm FROM customer
+    "norm_location": """SELECT c_custkey, r_name || '/' || n_name AS location_norm FROM customer
       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "seniority": f"WITH {JP} SELECT p_partkey, {_level('title')} AS level FROM jp",
     "extract_skills": f"""WITH b AS (SELECT {_tokens('text')} AS w FROM benchmark),
@@ -350,9 +349,10 @@ SQL: dict[str, str] = {
     "due_reminders": f"""WITH {LATEST}, now AS (SELECT max(at_) AS as_of FROM apps) SELECT profile_id, job_id, status,
       {_ts('since', True)} AS since FROM latest, now WHERE status NOT IN ('offer', 'rejected')
       AND since <= as_of - INTERVAL 7 DAY""",
-    "reminder_stream": f"""WITH {LATEST}, now AS (SELECT epoch_ms(max(at_)) AS as_of FROM apps) SELECT profile_id,
-      job_id, status, {_ts('since', True)} AS since FROM latest, now WHERE status NOT IN ('offer', 'rejected')
-      AND epoch_ms(since) + 7 * 86400000 <= as_of - 86400000""",
+    "reminder_stream": f"""WITH {APPS}, now AS (SELECT max(at_) AS as_of FROM apps),
+      s AS (SELECT *, coalesce({_NEXT}, as_of) AS until FROM apps, now)
+      SELECT profile_id, job_id, status, {_ts('at_', True)} AS since FROM s
+      WHERE status NOT IN ('offer', 'rejected') AND epoch_ms(until) - epoch_ms(at_) >= 7 * 86400000""",
     "pipeline_counts": f"WITH {LATEST} SELECT status, count(*) AS n FROM latest GROUP BY 1",
     "stage_durations": f"""WITH {APPS}, s AS (SELECT status, (epoch_us({_NEXT}) - epoch_us(at_)) / 1e6 AS sec FROM apps)
       SELECT status, count(*) AS n, {_pct('sec', {'p50': 0.5, 'p90': 0.9})} FROM s WHERE sec IS NOT NULL GROUP BY 1""",
@@ -384,9 +384,8 @@ SQL: dict[str, str] = {
         ORDER BY n_jobs DESC, skill) AS rank FROM c) WHERE rank <= 5""",
     "throughput": f"""SELECT {_ts("date_trunc('hour', ts)")} AS window_start, event_type AS source, count(*) AS n
       FROM events GROUP BY 1, 2""",
-    "throughput_stream": f"""WITH w AS (SELECT date_trunc('hour', ts) AS h, event_type AS source, count(*) AS n
-        FROM events GROUP BY 1, 2), now AS (SELECT max(ts) AS m FROM events)
-      SELECT {_ts('h')} AS window_start, source, n FROM w, now WHERE h + INTERVAL 1 HOUR <= m - INTERVAL 2 HOUR""",
+    "throughput_stream": f"""SELECT {_ts("date_trunc('hour', ts)")} AS window_start, event_type AS source,
+      count(*) AS n FROM events GROUP BY 1, 2""",
     "latency": f"""WITH {OPS} SELECT source, count(*) AS n, {_pct('latency', {'p50': 0.5, 'p95': 0.95, 'p99': 0.99})}
       FROM ops GROUP BY 1""",
     "hit_rate": f"""WITH {OPS} SELECT {_ts("date_trunc('day', ts)")} AS window_start, count(*) AS n,

@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 RAW_SCHEMA = "source string, external_id string, url string, payload string, fetched_at timestamp_ntz"
 RAW_COLUMNS = ["source", "external_id", "url", "payload", "fetched_at"]
 ROWS_PER_PAGE = 10_000
+READERS = 8
 
 
 class JobSource(ABC):
@@ -39,7 +40,11 @@ class JobSource(ABC):
 
 
 class LandedParquet(JobSource):
-    """Payloads another process landed as Parquet files, one split per file."""
+    """Payloads another process landed as Parquet files, one split per file, by time of arrival.
+
+    For continuous pulls of landed files use ``flows.ingest_files``: Spark's own file stream
+    remembers every file, whatever its name and time.
+    """
 
     def __init__(self, path: str):
         self.path = path
@@ -47,7 +52,8 @@ class LandedParquet(JobSource):
     def splits(self) -> list[str]:
         fs, root = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
-        return sorted(f.path for f in found if f.is_file and f.path.endswith(".parquet"))
+        landed = [f for f in found if f.is_file and f.path.endswith(".parquet") and "/_" not in f.path[len(root):]]
+        return [f.path for f in sorted(landed, key=lambda f: (f.mtime_ns or 0, f.path))]
 
     def pages(self, split: str, rows_per_page: int) -> Iterator[pa.RecordBatch]:
         fs = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path else pafs.LocalFileSystem()
@@ -64,19 +70,22 @@ def _plan(splits: list[str], options: dict) -> list[SplitPartition]:
     if not splits:
         return []
     if options.get("max_rps"):
-        return [SplitPartition(splits)]  # one reader alone can keep the pace
+        readers = min(len(splits), _readers(options))
+        return [SplitPartition(splits[i::readers]) for i in range(readers)]
     return [SplitPartition([s]) for s in splits]
 
 
+def _readers(options: dict) -> int:
+    return max(1, int(options.get("readers", READERS)))
+
+
 def _read(adapter: JobSource, options: dict, partition: SplitPartition) -> Iterator[pa.RecordBatch]:
     rows = int(options.get("rows_per_page", ROWS_PER_PAGE))
-    limit = options.get("pages")
-    gap = 1.0 / float(options["max_rps"]) if options.get("max_rps") else 0.0
+    # Each paced reader has an equal share, so all together never exceed the rate.
+    gap = _readers(options) / float(options["max_rps"]) if options.get("max_rps") else 0.0
     due = time.monotonic()
     for split in partition.splits:
-        for number, page in enumerate(adapter.pages(split, rows)):
-            if limit is not None and number >= int(limit):
-                break
+        for page in adapter.pages(split, rows):
             if gap:
                 time.sleep(max(0.0, due - time.monotonic()))
                 due = max(due, time.monotonic()) + gap
@@ -116,7 +125,8 @@ class _StreamReader(DataSourceStreamReader):
 def register_source(spark: SparkSession, name: str, adapter: JobSource) -> str:
     """Make ``spark.read.format(name)`` and ``spark.readStream.format(name)`` read the adapter.
 
-    Options: ``rows_per_page``, ``pages`` (per split) and ``max_rps`` (pages per second).
+    Options: ``rows_per_page``, ``max_rps`` (pages per second of all readers together) and
+    ``readers`` (how many share that rate).
     """
 
     class PostingSource(DataSource):

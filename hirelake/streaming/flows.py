@@ -2,7 +2,8 @@
 
 Event time is a ``timestamp`` column: watermarks do not accept ``timestamp_ntz``.
 Rows later than the stated lateness may be dropped by the stateful operators; the
-batch operators over the stored history remain the full answer.
+batch operators over the stored history remain the full answer. On timely rows no answer
+depends on how they were cut into micro-batches.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import StructType
 
 from hirelake.operators.copilot import CLOSED, KEYS
-from hirelake.operators.match import Rules, top_matches
+from hirelake.operators.match import Rules, ranked, top_matches
 from hirelake.session import ROCKSDB, fresh_dir
 
 
@@ -57,6 +58,13 @@ def ingest_stream(spark: SparkSession, source: str, path: str, checkpoint: str,
                     trigger=trigger)
 
 
+def ingest_files(spark: SparkSession, landed: str, schema: StructType, path: str, checkpoint: str,
+                 trigger: str | None = None) -> StreamingQuery:
+    """Pull landed files that were not pulled before into a table, each exactly once and in
+    whatever order of names they arrive. Files may lie in folders by day."""
+    return to_table(file_stream(spark, landed, schema), path, checkpoint, trigger=trigger)
+
+
 def replay(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1,
            name_glob: str | None = None) -> DataFrame:
     """Stored history as a stream, oldest files first."""
@@ -82,7 +90,8 @@ def latest_versions(updates: DataFrame, key: str = "posting_id", version: str =
 
 
 def throughput_stream(events: DataFrame, width: str, lateness: str) -> DataFrame:
-    """Events per closed window and source."""
+    """Events per window and source: closed windows in append mode, and in update mode also
+    the counts so far of open ones."""
     return (
         event_time(events, "ts").withWatermark("ts", lateness)
         .groupBy(F.window("ts", width).alias("w"), "source").agg(F.count(F.lit(1)).alias("n"))
@@ -92,54 +101,78 @@ def throughput_stream(events: DataFrame, width: str, lateness: str) -> DataFrame
 
 def match_feed(jobs: DataFrame, profiles: DataFrame, k: int, min_score: float, path: str, checkpoint: str,
                rules: Rules = Rules(), trigger: str | None = None) -> StreamingQuery:
-    """New jobs that suit a profile: the ``k`` best of every batch scoring ``min_score`` or more.
+    """The ``k`` best jobs so far of each profile that score ``min_score`` or more.
 
-    Each batch writes its own folder, so a batch repeated after a failure replaces itself.
+    Each batch writes a whole version, its own best merged with the version before, so the
+    answer does not depend on the batches; a batch repeated after a failure replaces its
+    version. ``read_feed`` gives the newest one.
     """
     wish = Rules(rules.equal, rules.at_least, rules.exclude_self, min_score)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        top_matches(profiles, batch, k, wish).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        best = top_matches(profiles, batch, k, wish)
+        if batch_id:
+            before = batch.sparkSession.read.schema(best.schema).parquet(f"{path}/batch={batch_id - 1}")
+            best = ranked(best.drop("rank").unionByName(before.drop("rank")).distinct(), k)
+        best.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return to_batches(jobs, sink, checkpoint, trigger=trigger)
 
 
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a feed; other versions are not scanned."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("batch")).first()[0]
+    return versions.where(F.col("batch") == newest).drop("batch")
+
+
 class _Reminder(StatefulProcessor):
-    """Latest status per application; an event-time timer fires when it has rested too long."""
+    """Latest status per application and whether its reminder was sent. A rest that ends
+    inside a batch is judged between the events; one that is still open, by a timer."""
 
     def __init__(self, after_ms: int):
         self.after_ms = after_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at_us bigint, event_id bigint, status string")
+        self.last = handle.getValueState("last", "at_us bigint, event_id bigint, status string, sent boolean")
+
+    def _reminder(self, key, at_us: int, status: str) -> pd.DataFrame:
+        return pd.DataFrame({"profile_id": [key[0]], "job_id": [key[1]], "status": [status], "since_us": [at_us]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = self.last.get() if self.last.exists() else None
-        for frame in rows:
-            top = frame.sort_values(["at_us", "event_id"]).iloc[-1]
-            new = (int(top["at_us"]), int(top["event_id"]), str(top["status"]))
-            best = new if best is None else max(tuple(best), new)
-        if best is not None:
-            self.last.update(tuple(best))
-            for due in list(self.handle.listTimers()):
-                self.handle.deleteTimer(due)
-            if best[2] not in CLOSED:
-                self.handle.registerTimer(best[0] // 1000 + self.after_ms)
-        return iter(())
+        events = [(int(r.at_us), int(r.event_id), str(r.status)) for frame in rows
+                  for r in frame[["at_us", "event_id", "status"]].itertuples(index=False)]
+        known = tuple(self.last.get()) if self.last.exists() else None
+        sent = known is not None and known[3]
+        if known is not None:
+            events.append(known[:3])
+        events.sort()
+        sent_at = known[:3] if sent else None
+        for event, after in zip(events, events[1:]):
+            rested = after[0] // 1000 - event[0] // 1000 >= self.after_ms
+            if rested and event[2] not in CLOSED and event != sent_at:
+                yield self._reminder(key, event[0], event[2])
+        last = events[-1]
+        self.last.update((*last, last == sent_at))
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        if last[2] not in CLOSED and last != sent_at:
+            self.handle.registerTimer(last[0] // 1000 + self.after_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.last.exists():
-            at_us, _, status = self.last.get()
-            yield pd.DataFrame({
-                "profile_id": [key[0]], "job_id": [key[1]], "status": [status], "since_us": [at_us]})
+            at_us, event_id, status, sent = self.last.get()
+            if not sent:
+                self.last.update((at_us, event_id, status, True))
+                yield self._reminder(key, at_us, status)
 
     def close(self) -> None:
         pass
 
 
 def reminder_stream(events: DataFrame, after_days: float, lateness: str) -> DataFrame:
-    """Emit an application once it has been open and unchanged for ``after_days``."""
+    """Emit an application whenever it has been open and unchanged for ``after_days``."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = (
         event_time(events, "at").withWatermark("at", lateness)

@@ -45,13 +45,12 @@ def test_second_source_is_only_a_second_adapter(spark):
 
 def test_paging_and_pacing(spark):
     adapters.register_source(spark, "board_c", Board("c"))
-    df = spark.read.format("board_c").option("rows_per_page", 2).option("pages", 2).load()
-    assert df.count() == 12
-    paced = spark.read.format("board_c").option("rows_per_page", 1).option("max_rps", 20).load()
-    assert paced.rdd.getNumPartitions() == 1
+    assert spark.read.format("board_c").option("rows_per_page", 2).load().count() == 15
+    paced = spark.read.format("board_c").option("rows_per_page", 1).option("max_rps", 20).option("readers", 2).load()
+    assert paced.rdd.getNumPartitions() == 2
     start = time.monotonic()
     assert paced.count() == 15
-    assert time.monotonic() - start >= 14 / 20
+    assert time.monotonic() - start >= 9 * 2 / 20  # the longer reader has ten pages at half the rate
 
 
 def test_ingest_resumes_where_it_stopped(spark, tmp_path):
@@ -62,6 +61,40 @@ def test_ingest_resumes_where_it_stopped(spark, tmp_path):
         assert spark.read.parquet(out).distinct().count() == spark.read.parquet(out).count() == rows
 
 
+def test_files_with_earlier_names_are_ingested_too(spark, tmp_path):
+    landed, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    make = lambda day: spark.createDataFrame([(day, i) for i in range(10)], "day string, i int").coalesce(1)
+    for many, day in enumerate(("2024-01-02", "2024-01-01", "2024-01-03"), 1):
+        make(day).write.parquet(f"{landed}/on={day}")
+        for _ in range(2):  # a pull without anything new adds nothing
+            flows.ingest_files(spark, f"{landed}/*", make(day).schema, out, checkpoint).awaitTermination()
+        assert spark.read.parquet(out).count() == spark.read.parquet(out).distinct().count() == 10 * many
+
+
+def test_landed_files_are_read_in_order_of_arrival(tmp_path):
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.parquet").write_text("")
+        time.sleep(0.02)
+    (tmp_path / "_temporary").mkdir()
+    (tmp_path / "_temporary" / "x.parquet").write_text("")
+    assert [s.rsplit("/", 1)[1] for s in adapters.LandedParquet(str(tmp_path)).splits()] == [
+        "b.parquet", "a.parquet", "c.parquet"]
+
+
+def test_the_feed_does_not_depend_on_batches(spark, tmp_path):
+    people = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "profile_id bigint, embedding array<double>")
+    jobs = [(i, [float(i), float(9 - i)]) for i in range(10)]
+    schema, got = "job_id bigint, embedding array<double>", []
+    for name, cuts in (("one", [jobs]), ("five", [jobs[i::5] for i in range(5)])):
+        path = str(tmp_path / name)
+        _files(spark, path, cuts, schema)
+        stream = flows.replay(spark, path, spark.read.parquet(path).schema)
+        flows.match_feed(stream, people, 2, 0.1, f"{path}-feed", f"{path}-cp").awaitTermination()
+        feed = flows.read_feed(spark, f"{path}-feed").orderBy("profile_id", "rank")
+        got.append([(r.profile_id, r["rank"], r.job_id, r.score) for r in feed.collect()])
+    assert got[0] == got[1] and [r[2] for r in got[0]] == [9, 8, 0, 1]
+
+
 def test_normalized_store_replaces_only_given_days(spark, tmp_path):
     path = str(tmp_path / "silver")
     make = lambda rows: spark.createDataFrame(rows, "posting_id string, fetched_at timestamp_ntz")
@@ -116,6 +149,21 @@ def test_reminders_fire_once_for_open_applications(spark, tmp_path):
     assert {(r.profile_id, r.job_id) for r in got} == {(r.profile_id, r.job_id) for r in due} == {(1, 1)}
 
 
+def test_reminders_do_not_depend_on_batches(spark, tmp_path):
+    schema = "profile_id bigint, job_id bigint, status string, at timestamp_ntz, event_id bigint"
+    day = lambda n: T0 + timedelta(days=n)
+    events = [(1, 1, "saved", day(0), 1), (7, 7, "saved", day(2), 2), (1, 1, "applied", day(10), 3),
+              (1, 1, "rejected", day(12), 4), (9, 9, "saved", day(13), 5), (5, 5, "saved", day(21), 6)]
+    got = []
+    for name, cuts in (("one", [events]), ("many", [[e] for e in events])):
+        path = str(tmp_path / name)
+        _files(spark, path, cuts, schema)
+        kind = spark.read.parquet(path).schema
+        rows = flows.drain(flows.reminder_stream(flows.replay(spark, path, kind), 7, "0 seconds"), "r").collect()
+        got.append(sorted((r.profile_id, r.job_id, r.status, r.since.day) for r in rows))
+    assert got[0] == got[1] == [(1, 1, "saved", 1), (7, 7, "saved", 3), (9, 9, "saved", 14)]
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 

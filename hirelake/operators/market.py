@@ -6,11 +6,13 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hirelake.operators.freshness import current_openings
+from hirelake.operators.freshness import current_openings, latest
 from hirelake.operators.skills import jobs_asking
 from hirelake.plans.quantiles import exact_percentiles
+from hirelake.session import materialize
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+STEP = {"day": "1 DAY", "week": "7 DAYS", "month": "1 MONTH", "quarter": "3 MONTHS", "year": "1 YEAR"}
 
 
 def comp_by(jobs: DataFrame, dims: list[str], comp: str = "comp", probs: dict[str, float] | None = None) -> DataFrame:
@@ -32,11 +34,13 @@ def comp_cube(jobs: DataFrame, comp: str = "comp", probs: dict[str, float] | Non
 
 def comp_trend(jobs: DataFrame, bucket: str = "month", by: str = "role", at: str = "seen_at",
                comp: str = "comp") -> DataFrame:
-    """Median comp per period and its change from the period before."""
+    """Median comp per period and its change from the period just before; null where that has none."""
     cut = jobs.select(by, F.date_trunc(bucket, at).alias("period"), comp)
     medians = exact_percentiles(cut, [by, "period"], comp, {"p50": 0.5})
     order = Window.partitionBy(by).orderBy("period")  # one row per period
-    return medians.withColumn("change", F.col("p50") - F.lag("p50").over(order))
+    just_before = F.date_trunc(bucket, F.col("period") - F.expr("INTERVAL 1 DAY"))
+    return medians.withColumn("change", F.when(
+        F.lag("period").over(order) == just_before, F.col("p50") - F.lag("p50").over(order)))
 
 
 def skill_demand(jobs: DataFrame, row_id: str = "posting_id", unique: bool = False) -> DataFrame:
@@ -46,11 +50,23 @@ def skill_demand(jobs: DataFrame, row_id: str = "posting_id", unique: bool = Fal
 
 def skill_trend(jobs: DataFrame, bucket: str = "quarter", at: str = "seen_at",
                 row_id: str = "posting_id") -> DataFrame:
-    """Share of each period's postings asking for a skill, its change, and a three-period mean."""
+    """Share of each period's postings asking for a skill, its change, and a three-period mean.
+
+    A skill has a row for every period from its first one to the last of all: nobody asking
+    is a share of 0, and a period without postings has no share.
+    """
     cut = jobs.select(row_id, "skills", F.date_trunc(bucket, at).alias("period"))
-    totals = cut.groupBy("period").agg(F.count_distinct(row_id).alias("n_jobs"))
-    asked = jobs_asking(cut, ["period"], row_id, unique=False)
-    share = asked.join(totals, "period").withColumn("share", F.col("n_asking") / F.col("n_jobs"))
+    totals = materialize(cut.groupBy("period").agg(F.count_distinct(row_id).alias("n_jobs")), "periods")
+    asked = materialize(jobs_asking(cut, ["period"], row_id, unique=False), "asked")
+    until = F.lit(latest(totals, "period"))
+    spine = asked.groupBy("skill").agg(F.min("period").alias("since")).select(
+        "skill", F.explode(F.sequence("since", until, F.expr(f"INTERVAL {STEP[bucket]}"))).alias("period"))
+    none = F.lit(0).cast("long")
+    share = (
+        spine.join(totals, "period", "left").join(asked, ["skill", "period"], "left")
+        .withColumns({"n_asking": F.coalesce("n_asking", none), "n_jobs": F.coalesce("n_jobs", none)})
+        .withColumn("share", F.when(F.col("n_jobs") > 0, F.col("n_asking") / F.col("n_jobs")))
+    )
     order = Window.partitionBy("skill").orderBy("period")  # one row per period
     return share.withColumn("change", F.col("share") - F.lag("share").over(order)).withColumn(
         "share_mean3", F.avg("share").over(order.rowsBetween(-2, 0)))

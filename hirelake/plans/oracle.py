@@ -279,6 +279,12 @@ SQL: dict[str, str] = {
       WHERE last_seen < as_of - INTERVAL 365 DAY""",
     "current_openings": f"""WITH {SEEN} SELECT posting_id, {_ts('last_seen')} AS last_seen FROM seen, now
       WHERE last_seen >= as_of - INTERVAL 90 DAY""",
+    "jobs_added_last_month": f"""WITH {JOBS}, now AS (SELECT max(l_shipdate) AS as_of FROM lineitem)
+      SELECT job_id, {_ts('first_seen')} AS first_seen, n_postings FROM jobs, now
+      WHERE first_seen > as_of - INTERVAL 30 DAY""",
+    "job_openings": f"""WITH {JOBS}, now AS (SELECT max(l_shipdate) AS as_of FROM lineitem)
+      SELECT job_id, {_ts('last_seen')} AS last_seen, n_postings FROM jobs, now
+      WHERE last_seen >= as_of - INTERVAL 90 DAY""",
     "openings_by_day": f"""WITH {POST}, span AS (SELECT role, min(CAST(first_seen AS DATE)) AS a,
         max(CAST(last_seen AS DATE)) AS z FROM post GROUP BY 1),
       days AS (SELECT role, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY))
@@ -364,14 +370,20 @@ SQL: dict[str, str] = {
     "comp_trend": f"""WITH {OJ}, m AS (SELECT role, date_trunc('month', seen_at) AS period, count(*) AS n,
         quantile_cont(comp, 0.5) AS p50 FROM oj GROUP BY 1, 2)
       SELECT role, {_ts('period')} AS period, n, round(p50, 4) AS p50,
-        round(p50 - lag(p50) OVER (PARTITION BY role ORDER BY m.period), 4) AS change FROM m""",
+        CASE WHEN lag(m.period) OVER w = m.period - INTERVAL 1 MONTH THEN round(p50 - lag(p50) OVER w, 4) END AS change
+      FROM m WINDOW w AS (PARTITION BY role ORDER BY m.period)""",
     "skill_demand": f"""WITH {POST} SELECT skill, count(DISTINCT posting_id) AS n_jobs FROM
       (SELECT posting_id, unnest(skills) AS skill FROM post) GROUP BY 1""",
     "skill_trend": f"""WITH {OJ}, q AS (SELECT posting_id, skills, date_trunc('quarter', seen_at) AS period FROM oj),
       t AS (SELECT period, count(DISTINCT posting_id) AS n_jobs FROM q GROUP BY 1),
       a AS (SELECT skill, period, count(DISTINCT posting_id) AS n_asking FROM (SELECT posting_id, period,
         unnest(skills) AS skill FROM q) GROUP BY 1, 2),
-      s AS (SELECT skill, period, n_asking, n_jobs, n_asking / n_jobs AS sh FROM a JOIN t USING (period))
+      f AS (SELECT skill, CAST(min(period) AS TIMESTAMP) AS since FROM a GROUP BY 1),
+      z AS (SELECT CAST(max(period) AS TIMESTAMP) AS until FROM t),
+      p AS (SELECT skill, unnest(generate_series(since, until, INTERVAL 3 MONTH)) AS period FROM f, z),
+      s AS (SELECT p.skill, p.period, coalesce(n_asking, 0) AS n_asking, coalesce(n_jobs, 0) AS n_jobs,
+        CASE WHEN n_jobs > 0 THEN coalesce(n_asking, 0) / n_jobs END AS sh
+        FROM p LEFT JOIN t ON t.period = p.period LEFT JOIN a ON a.skill = p.skill AND a.period = p.period)
       SELECT skill, {_ts('period')} AS period, n_asking, n_jobs, round(sh, 6) AS share,
         round(sh - lag(sh) OVER w, 6) AS change, round(avg(sh) OVER (PARTITION BY skill ORDER BY s.period
           ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS share_mean3

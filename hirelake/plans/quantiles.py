@@ -1,4 +1,4 @@
-"""Exact percentiles that never hold a whole group in one task."""
+"""Exact percentiles that never order a whole group in one task."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from hirelake.plans.skew import null_safe_join
 from hirelake.session import materialize
 
 BINS_PER_E_FOLD = 200  # one bin spans about 0.5 % of a value
+PARTS = 4096  # parts of a bin that holds too many rows
+MOST = 1_000_000  # rows of one bin that are ordered together
 
 
 def _bin(value: Column) -> Column:
@@ -19,31 +21,20 @@ def _bin(value: Column) -> Column:
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], most: int = MOST
 ) -> DataFrame:
-    """Interpolated percentiles per key, plus the row count ``n``.
+    """Interpolated percentiles per key, plus the row count ``n``. Nulls and NaN do not count.
 
-    Two pruned passes and no shuffle of the values. The first counts a log-scale
-    histogram map-side (a few thousand bins per key at most) and finds the bins that
-    hold the wanted ranks; these are written out, so their size is known when they are
-    joined. The second pass keeps only rows of those bins, counts equal values map-side
-    and orders what is left. A group with a third of all rows is handled like any other.
+    A log-scale histogram, counted map-side, finds the bins that hold the wanted ranks. A
+    bin of more than ``most`` rows is cut into ``PARTS`` between its least and its largest
+    value, again by map-side counts, and so on until each wanted bin is small or holds one
+    value. Each round is written, so its size is known when it is joined: a few bins per key.
+    Only rows of small bins are ordered, and the values of a whole group never are.
     """
     keys = list(keys)
     if not keys:
-        return exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
-    binned = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"))
-        .withColumn("_bin", _bin(F.col("_v")))
-    )
-    by_bin = Window.partitionBy(*keys).orderBy("_bin")
-    histogram = (
-        binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_bin_n"))
-        .withColumn("_before", F.sum("_bin_n").over(by_bin.rowsBetween(Window.unboundedPreceding, 0))
-                    - F.col("_bin_n"))
-        .withColumn("_total", F.sum("_bin_n").over(Window.partitionBy(*keys)))
-    )
+        return exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, most).drop("_all")
+    sides = (F.floor, F.ceil)
 
     def rank(p: float, side) -> Column:
         return side(F.lit(float(p)) * (F.col("_total") - 1))
@@ -51,17 +42,47 @@ def exact_percentiles(
     def holds(target: Column, start: str, length: str) -> Column:
         return (target >= F.col(start)) & (target < F.col(start) + F.col(length))
 
-    sides = (F.floor, F.ceil)
-    wanted = materialize(histogram.where(
-        reduce(or_, [holds(rank(p, s), "_before", "_bin_n") for p in probs.values() for s in sides])
-    ).drop("_bin_n"), "bins")
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    ranked = (
-        null_safe_join(binned, wanted, [*keys, "_bin"])
+    def wanted(bins: DataFrame, within: list[str]) -> DataFrame:
+        """Bins with a wanted rank; ``_base`` rows lie before those they were cut from."""
+        upto = Window.partitionBy(*within).orderBy("_low").rowsBetween(Window.unboundedPreceding, 0)
+        placed = bins.withColumn("_before", F.col("_base") + F.sum("_n").over(upto) - F.col("_n"))
+        return placed.where(
+            reduce(or_, [holds(rank(p, s), "_before", "_n") for p in probs.values() for s in sides])
+        ).select(*keys, "_bin", "_low", "_high", "_n", "_before", "_total")
+
+    def inside(bins: DataFrame) -> DataFrame:
+        """Values that lie in one of the bins, with its columns; bins of a key do not overlap."""
+        return null_safe_join(rows, bins, [*keys, "_bin"]).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+
+    number = F.col(value).cast("double")
+    rows = (
+        df.where(number.isNotNull() & ~F.isnan(number)).select(*keys, number.alias("_v"))
+        .withColumn("_bin", _bin(F.col("_v")))
+    )
+    counted = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    first = rows.groupBy(*keys, "_bin").agg(*counted).withColumns({
+        "_base": F.lit(0), "_total": F.sum("_n").over(Window.partitionBy(*keys))})
+    bins = materialize(wanted(first, keys), "bins")
+    varied = F.col("_low") < F.col("_high")
+    crowded = varied & (F.col("_n") > most)
+    while not bins.where(crowded).isEmpty():
+        share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        parts = (
+            inside(bins.where(crowded).withColumn("_of", F.col("_low")).drop("_n"))
+            .groupBy(*keys, "_bin", "_of", F.col("_before").alias("_base"), "_total", F.floor(share * PARTS).alias("_part"))
+            .agg(*counted)
+        )
+        bins = materialize(
+            bins.where(~crowded).unionByName(wanted(parts, [*keys, "_bin", "_of"])), "bins")
+    in_bin = Window.partitionBy(*keys, "_bin", "_before").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = (
+        inside(bins.where(varied).drop("_n"))
         .groupBy(*keys, "_bin", "_before", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_from", F.col("_before") - F.col("_n")
-                    + F.sum("_n").over(in_bin.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_from", F.col("_before") - F.col("_n") + F.sum("_n").over(in_bin))
     )
+    columns = [*keys, "_total", "_v", "_n", "_from"]
+    ranked = ordered.select(*columns).unionByName(
+        bins.where(~varied).withColumns({"_v": F.col("_low"), "_from": F.col("_before")}).select(*columns))
     picks, out = [F.max("_total").alias("n")], []
     for name, p in probs.items():
         for label, side in zip(("lo", "hi"), sides):

@@ -34,21 +34,30 @@ def with_neighbour(
     )
 
 
-def running_total(df: DataFrame, at: str, delta: str, out: str, bucket: str = "hour") -> DataFrame:
-    """Running sum of ``delta`` at every distinct time, without one global window."""
-    moments = (
-        df.groupBy(at).agg(F.sum(delta).alias(delta))
-        .withColumn("_bucket", F.date_trunc(bucket, at))
+def running_total(df: DataFrame, at: str, delta: str, out: str) -> DataFrame:
+    """Running sum of ``delta`` at every distinct time, without one global window.
+
+    Hours, the seconds of an hour and the moments of a second are summed in turn. So a
+    window holds one row per hour of the calendar, 3,600 seconds, or a million microseconds
+    at most, however many rows fall into them.
+    """
+    def before(column: str, within: list[str], order: str):
+        upto = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.sum(column).over(upto) - F.col(column)
+
+    moments = df.groupBy(at).agg(F.sum(delta).alias(delta)).withColumn("_second", F.date_trunc("second", at))
+    seconds = (
+        moments.groupBy("_second").agg(F.sum(delta).alias("_sum"))
+        .withColumn("_hour", F.date_trunc("hour", "_second"))
+        .withColumn("_in_hour", before("_sum", ["_hour"], "_second"))
     )
-    # One row per bucket of wall-clock time: bounded by the calendar, not by the data.
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = (
-        moments.groupBy("_bucket").agg(F.sum(delta).alias("_sum"))
-        .withColumn("_offset", F.sum("_sum").over(upto) - F.col("_sum")).drop("_sum")
+    hours = (
+        seconds.groupBy("_hour").agg(F.sum("_sum").alias("_sum"))
+        .select("_hour", before("_sum", [], "_hour").alias("_of_hour"))
     )
-    inside = Window.partitionBy("_bucket").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = seconds.join(hours, "_hour").select("_second", (F.col("_in_hour") + F.col("_of_hour")).alias("_offset"))
     return (
-        moments.withColumn("_inner", F.sum(delta).over(inside))
-        .join(offsets, "_bucket")
+        moments.withColumn("_inner", before(delta, ["_second"], at) + F.col(delta))
+        .join(offsets, "_second")
         .select(at, F.col(delta), (F.col("_inner") + F.col("_offset")).alias(out))
     )

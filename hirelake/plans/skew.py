@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from hirelake.session import materialize
 
 HOT_ROWS = 1_000_000
+HOT_KEYS = 10_000  # at most so many keys are broadcast
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -27,18 +28,21 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: st
                  hot_rows: int = HOT_ROWS, null_safe: bool = False) -> DataFrame:
     """Inner join of ``rows`` with ``counted``: one row per key and how many rows have it.
 
-    ``counted`` is written first, so its size is known. Keys with more than ``hot_rows``
-    rows number at most ``rows / hot_rows``, a proven bound, and are broadcast: their
-    rows never meet in one task. The other keys join as Catalyst sees fit.
+    ``counted`` is written first, so its size is known. A key is hot with more than
+    ``hot_rows`` rows and more than a share of 1 / ``HOT_KEYS`` of them all; so hot keys
+    number fewer than ``HOT_KEYS`` at any size. They are broadcast, and their rows never
+    meet in one task. The other keys join as Catalyst sees fit.
     """
     def join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
         return null_safe_join(left, right, keys, how) if null_safe else left.join(right, keys, how)
 
     table = materialize(counted, "counted")
-    hot = table.where(F.col(count) > hot_rows)
-    if hot.isEmpty():
+    total, most = (n or 0 for n in table.agg(F.sum(count), F.max(count)).first())
+    bound = max(hot_rows, total // HOT_KEYS)
+    if most <= bound:
         return join(rows, table).drop(count)
+    hot = table.where(F.col(count) > bound)
     heavy = join(rows, F.broadcast(hot))
     rest = join(rows, F.broadcast(hot.select(*keys)), "left_anti")
-    light = join(rest, table.where(F.col(count) <= hot_rows))
+    light = join(rest, table.where(F.col(count) <= bound))
     return heavy.unionByName(light).drop(count)

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from hirelake.operators import copilot, freshness, normalize, skills
+from hirelake.operators import copilot, freshness, market, normalize, skills
 from hirelake.plans.quantiles import exact_percentiles
 from hirelake.plans.series import running_total, with_neighbour
 
@@ -56,6 +56,44 @@ def test_running_total(spark):
     assert got == {t: sum(d for u, d in rows if u <= t) for t, _ in rows}
 
 
+def test_running_total_of_a_busy_second(spark):
+    rng = random.Random(7)
+    rows = [(T0 + timedelta(microseconds=rng.randint(0, 900_000)), rng.choice([1, -1])) for _ in range(300)]
+    rows += [(T0 + timedelta(seconds=s), 5) for s in (-1, 1, 3599, 3600)]
+    frame = spark.createDataFrame(rows, "ts timestamp_ntz, delta bigint")
+    got = {r.ts: r.depth for r in running_total(frame, "ts", "delta", "depth").collect()}
+    assert got == {t: sum(d for u, d in rows if u <= t) for t, _ in rows}
+
+
+def test_trends_see_periods_without_rows(spark):
+    day = lambda m: datetime(2024, m, 5)
+    rows = [("a", day(1), 10.0, ["x", "y"]), ("b", day(2), 30.0, ["x"]), ("c", day(4), 60.0, ["y"])]
+    jobs = spark.createDataFrame([("r", *r) for r in rows],
+                                 "role string, posting_id string, seen_at timestamp_ntz, comp double, skills array<string>")
+    assert [(r.period.month, r.change) for r in market.comp_trend(jobs).orderBy("period").collect()] == [
+        (1, None), (2, 20.0), (4, None)]
+    got = {(r.skill, r.period.month): (r.n_asking, r.n_jobs, r.share, r.change)
+           for r in market.skill_trend(jobs, bucket="month").collect()}
+    assert got == {
+        ("x", 1): (1, 1, 1.0, None), ("x", 2): (1, 1, 1.0, 0.0), ("x", 3): (0, 0, None, None), ("x", 4): (0, 1, 0.0, None),
+        ("y", 1): (1, 1, 1.0, None), ("y", 2): (0, 1, 0.0, -1.0), ("y", 3): (0, 0, None, None), ("y", 4): (1, 1, 1.0, None)}
+
+
+def test_percentiles_of_crowded_bins(spark):
+    """Bins of more rows than are ordered together are cut until they are small or of one value."""
+    rng = np.random.default_rng(9)
+    data = {"narrow": rng.uniform(0, 0.004, 3000), "near": 5e4 + rng.uniform(0, 1, 2000), "ties": rng.integers(0, 3, 900) / 1e3,
+            "nested": np.concatenate([0.004 / 10.0 ** rng.integers(0, 60, 900), np.full(200, 1e-30)]),
+            "below": -rng.uniform(0, 0.004, 700), None: rng.uniform(1, 1.001, 300)}
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("narrow", float("nan"))]
+    probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    frame = spark.createDataFrame(rows, "k string, v double")
+    for r in exact_percentiles(frame, ["k"], "v", probs, most=40).collect():
+        assert r.n == len(data[r.k])
+        for name, p in probs.items():
+            assert np.isclose(r[name], np.quantile(data[r.k], p), rtol=1e-9, atol=0)
+
+
 def test_percentiles_equal_numpy(spark):
     rng = np.random.default_rng(8)
     data = {"hot": rng.lognormal(3, 2, 900).round(2), "neg": rng.normal(0, 50, 101).round(1),

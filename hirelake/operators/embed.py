@@ -8,7 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hirelake.functions.text import WORD_BREAK
 
@@ -100,10 +100,16 @@ class TemplateProvider:
     def complete(self, prompts: list[str]) -> list[str]:
         return [f"{self.opening}\n\n{p}\n\n{self.closing}" for p in prompts]
 
+    def complete_column(self, prompt: Column) -> Column:
+        """The same as an expression, so that no row leaves the JVM."""
+        return F.concat(F.lit(f"{self.opening}\n\n"), F.coalesce(prompt, F.lit("")), F.lit(f"\n\n{self.closing}"))
+
 
 def generate(df: DataFrame, prompt_col: str, provider: LLMProvider, out: str = "completion",
              batch: int = 64) -> DataFrame:
-    """Complete a prompt column in Arrow batches."""
+    """Complete a prompt column: by the provider's expression if it has one, else in Arrow batches."""
+    if hasattr(provider, "complete_column"):
+        return df.withColumn(out, provider.complete_column(F.col(prompt_col)))
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def complete(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

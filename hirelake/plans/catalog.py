@@ -189,7 +189,7 @@ def seniority(spark, sf):
 
 
 def extract_skills(spark, sf):
-    found = skills.extract_skills(roles.documents(spark, sf), roles.dictionary(spark, sf), longest=2)
+    found = skills.extract_skills(roles.documents(spark, sf), roles.dictionary(spark, sf))
     return _joined(found, "skills")
 
 
@@ -307,10 +307,11 @@ def current_openings(spark, sf):
     return _text(freshness.current_openings(jobs, _as_of(spark, sf), 90), "last_seen")
 
 
-def jobs_added_last_month(spark, sf):
-    """Jobs and not postings: one seen at several sources counts once, from its first sighting."""
+def jobs_added_last_day(spark, sf):
+    """Jobs and not postings: one seen at several sources counts once, from its first sighting.
+    The day is the one before the newest job; the newest posting may be of an old job."""
     jobs = dedupe.merge_cluster(_with_jobs(spark, sf)).select("job_id", "first_seen", "n_postings")
-    return _text(freshness.added_since(jobs, _as_of(spark, sf), 30 * 24), "first_seen")
+    return _text(freshness.added_since(jobs, freshness.latest(jobs, "first_seen"), 24), "first_seen")
 
 
 def job_openings(spark, sf):
@@ -573,7 +574,7 @@ QUERIES = {f.__name__: f for f in [
     extract_skills, keywords, filtered, job_detail,
     dedupe_external_id, dedupe_url, dedupe_title_company, dedupe_cascade, dedupe_semantic, near_dup_text,
     resolve_clusters, merged_jobs, job_provenance,
-    seen, seen_update, added_last_day, stale_postings, current_openings, jobs_added_last_month, job_openings, openings_by_day, replayed,
+    seen, seen_update, added_last_day, stale_postings, current_openings, jobs_added_last_day, job_openings, openings_by_day, replayed,
     embedded, same_model, pending_embeddings, embedded_profiles, match_exact, match_ann, match_filtered, match_all,
     search_text, explained, phrased, generated, match_feed,
     role_requirements, skill_gap, skill_lift, tailored, letters, current_status, status_timeline, bad_transitions,

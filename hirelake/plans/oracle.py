@@ -67,6 +67,13 @@ def _tokens(c: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}]+'), lambda w: w <> '')"
 
 
+def _grams(words: str) -> str:
+    """Words, pairs and triples of words of a list."""
+    joined = lambda n: " || ' ' || ".join(f"{words}[i + {k}]" for k in range(n))
+    longer = [f"list_transform(range(1, len({words}) - {n} + 2), lambda i: {joined(n)})" for n in (2, 3)]
+    return f"list_concat(list_concat({words}, {longer[0]}), {longer[1]})"
+
+
 def _decode(c: str) -> str:
     for entity, plain in ENTITIES.items():
         c = f"replace({c}, {_str(entity)}, {_str(plain)})"
@@ -224,13 +231,10 @@ SQL: dict[str, str] = {
       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "seniority": f"WITH {JP} SELECT p_partkey, {_level('title')} AS level FROM jp",
     "extract_skills": f"""WITH b AS (SELECT {_tokens('text')} AS w FROM benchmark),
-      g AS (SELECT unnest(w) AS alias FROM b UNION SELECT unnest(list_transform(range(1, len(w)),
-        lambda i: w[i] || ' ' || w[i + 1])) FROM b),
-      dict AS (SELECT DISTINCT replace(alias, ' ', '-') AS skill, alias FROM g
-        WHERE contains(alias, ' ') OR length(alias) >= 8),
+      g AS (SELECT unnest({_grams('w')}) AS alias FROM b),
+      dict AS (SELECT DISTINCT replace(alias, ' ', '-') AS skill, alias FROM g),
       d AS (SELECT doc_id AS posting_id, {_tokens('text')} AS w FROM documents),
-      grams AS (SELECT posting_id, unnest(w) AS gram FROM d UNION SELECT posting_id,
-        unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d)
+      grams AS (SELECT posting_id, unnest(list_distinct({_grams('w')})) AS gram FROM d)
       SELECT posting_id, string_agg(skill, ',' ORDER BY skill) AS skills FROM (SELECT DISTINCT posting_id, skill
         FROM grams JOIN dict ON gram = alias) GROUP BY 1""",
     "keywords": f"""WITH {DOCTERMS}, n AS (SELECT count(*) AS n FROM documents),
@@ -279,9 +283,9 @@ SQL: dict[str, str] = {
       WHERE last_seen < as_of - INTERVAL 365 DAY""",
     "current_openings": f"""WITH {SEEN} SELECT posting_id, {_ts('last_seen')} AS last_seen FROM seen, now
       WHERE last_seen >= as_of - INTERVAL 90 DAY""",
-    "jobs_added_last_month": f"""WITH {JOBS}, now AS (SELECT max(l_shipdate) AS as_of FROM lineitem)
+    "jobs_added_last_day": f"""WITH {JOBS}, now AS (SELECT max(first_seen) AS as_of FROM jobs)
       SELECT job_id, {_ts('first_seen')} AS first_seen, n_postings FROM jobs, now
-      WHERE first_seen > as_of - INTERVAL 30 DAY""",
+      WHERE first_seen > as_of - INTERVAL 24 HOUR""",
     "job_openings": f"""WITH {JOBS}, now AS (SELECT max(l_shipdate) AS as_of FROM lineitem)
       SELECT job_id, {_ts('last_seen')} AS last_seen, n_postings FROM jobs, now
       WHERE last_seen >= as_of - INTERVAL 90 DAY""",

@@ -241,11 +241,10 @@ def documents(spark, sf) -> DataFrame:
 
 
 def dictionary(spark, sf) -> DataFrame:
-    """Skill dictionary with aliases: the long words and the word pairs of the benchmark texts."""
+    """Skill dictionary with aliases: the words, pairs and triples of words of the benchmark texts."""
     return (
         table(spark, sf, "benchmark").select(tokens("text").alias("words"))
-        .select(F.explode(ngrams(F.col("words"), 2)).alias("alias"))
-        .where(F.col("alias").contains(" ") | (F.length("alias") >= 8))
+        .select(F.explode(ngrams(F.col("words"), 3)).alias("alias"))
         .distinct()
         .select(F.replace("alias", F.lit(" "), F.lit("-")).alias("skill"), "alias")
     )

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from hirelake.operators import dedupe
+from hirelake.plans import skew
 from hirelake.plans.tiles import tiled
 
 
@@ -150,3 +152,15 @@ def test_tiles_stay_small(spark):
     seen = tiled(rows, rows, "id", "id", ["block"], sizes, "l int, r int", tile_rows=50).collect()
     assert max(max(r.l, r.r) for r in seen) <= 100
     assert sum(r.l * r.r for r in seen) == 900 * 900 + 100
+
+
+def test_counted_join_broadcasts_few_hot_keys(spark, monkeypatch):
+    """With any bound on hot keys the join gives the same rows."""
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(90)], "k string, i int")
+    counted = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.min("i").alias("first"))
+    want = None
+    for keys in (1, 2, 10_000):
+        monkeypatch.setattr(skew, "HOT_KEYS", keys)
+        got = sorted(map(tuple, skew.join_counted(rows, counted, ["k"], hot_rows=0).collect()))
+        assert len(got) == 90 and got == (want or got)
+        want = got

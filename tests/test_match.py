@@ -140,3 +140,10 @@ def test_explanations(spark):
     got = [r.explanation for r in match.phrase(match.explain(rows)).orderBy("job_id").collect()]
     assert got[0] == "Matches 2 of 2 listed skills: go, sql."
     assert got[1] == got[2] == "Similar wording; no listed skill in common."
+
+
+def test_template_column_equals_its_texts(spark):
+    provider = embed.TemplateProvider("Hi,", "Bye")
+    prompts = [("a",), ("",), (None,), ("two\nlines",)]
+    got = embed.generate(spark.createDataFrame(prompts, "prompt string"), "prompt", provider).collect()
+    assert [r.completion for r in got] == provider.complete([p or "" for p, in prompts])

@@ -459,6 +459,22 @@ def test_attention_learns_what_stands_before():
     assert m.scores([right])[0] - m.scores([wrong])[0] > 100
 
 
+def test_every_id_of_a_training_text_is_a_target_once(spark):
+    words = spark.sparkContext.broadcast(attention.Words(attention.Subwords(attention.VOCABULARY)))
+    end, texts = words.value.subwords.end, ["", None, "one", " ".join(f"word{i} of the house" for i in range(400))]
+    facts = attention.gathered(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), words)
+    flat = b"".join(bytes(r.ids) for r in facts.where("kind = 'window'").collect())
+    windows = np.frombuffer(flat, np.uint16).reshape(-1, 2 * attention.BLOCK + 1)
+    aims = windows[:, 1:]
+    own = [words.value.ids(n).tolist() + [end] for n in words.value.numbers(texts)]
+    assert aims[~attention.filled(aims, end)].tolist() == sum(own, [])
+    counts = {r.key: r.n for r in facts.where("kind = 'id'").collect()}
+    assert counts == Counter(sum(own, []))
+    seen = np.bincount(list(counts), list(counts.values()), end + 1)
+    most = attention.surroundings(facts.where("kind = 'window'").select("ids"), attention.ranks(seen))
+    assert (most.max(1) <= seen).all() and most.max() > len(texts)
+
+
 # ---- 10: sharding and the permutation --------------------------------------------------------------------------------
 
 def place(x, total, seed):

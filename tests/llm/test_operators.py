@@ -419,6 +419,12 @@ def test_model_is_a_distribution_scored_once_per_id():
     assert np.allclose(alone, both, atol=1e-3)
 
 
+def test_model_is_not_shrunk_for_the_budget():
+    m = small_model()
+    assert m.weights["up"].shape == (16, 32) and len(m.weights["bias"]) == 128
+    assert len(np.unique(m.klass[m.klass < 64])) == 64
+
+
 def test_slopes_equal_differences():
     m, rng = small_model(), np.random.default_rng(2)
     for name in m.weights:

@@ -48,7 +48,7 @@ _PLUS = re.compile(r"(?<![A-Za-z])plus\s+(?=\+?[0-9])", re.I)
 _BRACKETS = re.compile(r"\s*(?:\(\s*(at|@|dot|\.)\s*\)|\[\s*(at|@|dot|\.)\s*\]|\{\s*(at|@|dot|\.)\s*\}|<\s*(at|dot)\s*>)\s*", re.I)
 _DOTTED = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 _AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\s+at\s+(?=[A-Za-z0-9-])", re.I)
-_HINT = re.compile(rf"[(\[{{<]\s*(?:at|@|dot|\.)\s*[)\]}}>]|\sdot\s|(?<![A-Za-z]){_WORD}[\s,-]{{1,3}}{_WORD}(?![A-Za-z])", re.I)
+_HINT = re.compile(rf"[(\[{{<]\s*(?:at|@|dot|\.)\s*[)\]}}>]|\sdot\s|(?<![A-Za-z])plus\s+\+?[0-9]|(?<![A-Za-z]){_WORD}[\s,-]{{1,3}}{_WORD}(?![A-Za-z])", re.I)
 
 Span = tuple[str, int, int]
 

@@ -313,6 +313,18 @@ def test_disguised_spans_point_at_their_source(text, kind, part):
     assert set(base) == set(plain_by_regex(text))
 
 
+def test_the_gate_changes_no_result():
+    text = "call plus 49 30 1234 5678 now"
+    assert ("phone", 5, 25) in pii.spans_of(text)[1]
+    rnd = random.Random(9)
+    parts = ["plus ", "+", "49 30 1234 5678", "1.2.3.4", " dot ", "[dot]", "(at)", " at ", "one", "two ", "nine ", "192", "168", "4111", "1111",
+             " ", " ", "-", ", ", ".", "jane", "mail", "org", "@", "x", "é", "\u200b", "ａ", "tone", "10", "255", "\n"]
+    for _ in range(6000):
+        text = "".join(rnd.choices(parts, k=rnd.randint(2, 14)))
+        base, more = pii.spans_of(text)
+        assert set(base) | set(more) == set(pii.plain(text)) | set(pii.disguised(text)), text
+
+
 def test_prose_is_left_alone(spark, odd, empty):
     for text in ("look at the spot on the map. at 5.30 we met at home.co", "one two buckle my shoe", "At last. Dot com", "a at b"):
         assert pii.spans_of(text) == ([], [])

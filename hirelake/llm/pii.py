@@ -2,10 +2,13 @@
 
 Plain identifiers are found first. Then small transducers rewrite the text and remember
 which source characters each new character stands for: invisible characters go, look-alike
-letters become ASCII, runs of spelled digits become digits, and ``at`` and ``dot`` written
-as words or in brackets become signs. What the same detectors find in the rewritten text is
-mapped back to source characters; it is added if its source differs from what was found.
-Plain spans always stay.
+letters become ASCII, spelled digits become digits, and ``at`` and ``dot`` written as words
+or in brackets become signs. A spelled digit counts where it stands beside another one, a
+written digit or a dot; whether prose or a number is meant there, the text does not tell, so
+it has several readings (only runs of three or more; all of them; all of them, joined to the
+written digits beside them). What the same detectors find in any reading is mapped back to
+source characters; it is added if its source differs from what was found. Plain spans always
+stay.
 
 A null text counts as empty and has no spans. Ties in a start are ordered by kind, then by
 end. Repeated rows and null ids are rows like others; other columns are not read. Texts
@@ -44,11 +47,19 @@ _STRANGE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff\u0370-\u052f\uff01-\uff5
 _WORD = "(?:" + "|".join(SPELLED) + ")"
 _RUN = re.compile(rf"(?<![A-Za-z]){_WORD}(?:[\s,-]{{1,3}}{_WORD}){{2,}}(?![A-Za-z])", re.I)
 _ONE = re.compile(_WORD, re.I)
+_SOME = rf"(?P<run>(?<![A-Za-z]){_WORD}(?:[\s,-]{{1,3}}{_WORD})*)(?![A-Za-z])"
+_SPACED = re.compile(_SOME, re.I)
+_JOINED = re.compile(rf"(?:(?<=[0-9])[\s,-]{{1,3}})?{_SOME}(?:[\s,-]{{1,3}}(?=[0-9]))?", re.I)
+_BEFORE = re.compile(r"(?:[0-9][\s,().-]{0,3}|\.)\Z")
+_AFTER = re.compile(r"[\s,().-]{0,3}[0-9]|\.")
 _PLUS = re.compile(r"(?<![A-Za-z])plus\s+(?=\+?[0-9])", re.I)
 _BRACKETS = re.compile(r"\s*(?:\(\s*(at|@|dot|\.)\s*\)|\[\s*(at|@|dot|\.)\s*\]|\{\s*(at|@|dot|\.)\s*\}|<\s*(at|dot)\s*>)\s*", re.I)
 _DOTTED = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 _AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\s+at\s+(?=[A-Za-z0-9-])", re.I)
-_HINT = re.compile(rf"[(\[{{<]\s*(?:at|@|dot|\.)\s*[)\]}}>]|\sdot\s|(?<![A-Za-z])plus\s+\+?[0-9]|(?<![A-Za-z]){_WORD}[\s,-]{{1,3}}{_WORD}(?![A-Za-z])", re.I)
+_HINT = re.compile(
+    rf"[(\[{{<]\s*(?:at|@|dot|\.)\s*[)\]}}>]|\sdot\s|(?<![A-Za-z])plus\s+\+?[0-9]"
+    rf"|(?<![A-Za-z]){_WORD}(?:[\s,-]{{1,3}}{_WORD}(?![A-Za-z])|\.{_WORD}(?![A-Za-z])|[\s,().-]{{0,3}}[0-9])"
+    rf"|[0-9][\s,().-]{{0,3}}{_WORD}(?![A-Za-z])", re.I)
 
 Span = tuple[str, int, int]
 
@@ -128,15 +139,41 @@ def ascii_of(char: str) -> str:
     return same if len(same) == 1 and same.isascii() else char
 
 
+def as_digits(m: re.Match) -> list[tuple[str, int, int]]:
+    """A run of spelled digits as digits; a single one only beside a written digit or a dot."""
+    first, last = m.span("run")
+    words = list(_ONE.finditer(m.string, first, last))
+    if len(words) < 2 and not _BEFORE.search(m.string, max(0, first - 4), first) and not _AFTER.match(m.string, last):
+        return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m.group())]
+    return [(SPELLED[w.group().lower()], *w.span()) for w in words]
+
+
 def disguised(text: str) -> list[Span]:
-    """Identifiers of the rewritten text, as source spans."""
+    """Identifiers of the rewritten text in any of its readings, as source spans."""
+    found: dict[Span, None] = {}
+    read = set()
+    for spelled in (None, _SPACED, _JOINED):
+        new = rewritten(text, spelled)
+        if new.text not in read:
+            read.add(new.text)
+            found.update(dict.fromkeys((kind, new.starts[a], new.ends[b - 1]) for kind, a, b in plain(new.text)))
+    return list(found)
+
+
+def rewritten(text: str, spelled: re.Pattern | None) -> Rewritten:
+    """One reading: ``spelled`` finds the digits as words, after the dots have become signs;
+    without it, only runs of three or more are digits."""
     new = Rewritten(text)
     new.apply(_STRANGE, lambda m: [] if m.group() in INVISIBLE else [(ascii_of(m.group()), m.start(), m.end())])
-    new.apply(_RUN, lambda m: [(SPELLED[w.group().lower()], m.start() + w.start(), m.start() + w.end())
-                               for w in _ONE.finditer(m.group())])
-    new.apply(_PLUS, lambda m: [("+", m.start(), m.end())])
+    if not spelled:
+        new.apply(_RUN, lambda m: [(SPELLED[w.group().lower()], m.start() + w.start(), m.start() + w.end())
+                                   for w in _ONE.finditer(m.group())])
+        new.apply(_PLUS, lambda m: [("+", m.start(), m.end())])
     new.apply(_BRACKETS, lambda m: [("@" if next(filter(None, m.groups())).lower() in ("at", "@") else ".", m.start(), m.end())])
     new.apply(_DOTTED, lambda m: [(".", m.start(), m.end())])
+    if spelled:
+        new.apply(spelled, as_digits)
+        new.apply(_PLUS, lambda m: [("+", m.start(), m.end())])
     if "." in new.text:
         # A bare "at" is a sign only before a name whose dots were disguised too; prose has it everywhere.
         masked = {i for i, c in enumerate(new.text) if c == "." and new.ends[i] - new.starts[i] > 1}
@@ -148,7 +185,7 @@ def disguised(text: str) -> list[Span]:
             return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m.group())]
 
         new.apply(_AT, sign)
-    return [(kind, new.starts[a], new.ends[b - 1]) for kind, a, b in plain(new.text)]
+    return new
 
 
 def spans_of(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -313,6 +313,16 @@ def test_disguised_spans_point_at_their_source(text, kind, part):
     assert set(base) == set(plain_by_regex(text))
 
 
+@pytest.mark.parametrize("kind, part", [
+    ("ip", "one nine two dot one six eight dot one dot one"), ("ip", "192.168.1.one"), ("ip", "19 two dot 168 dot one dot 1"),
+    ("card", "4111 one one 11 1111 1111"), ("card", "4111 1111 1111 11 one one"), ("phone", "plus one (202) 555-0101 two"),
+    ("phone", "+49 30 1234 five six 78"), ("ip", "one.two.three.four"), ("ip", "10[.]0[.]0[.]255")])
+def test_few_spelled_digits_are_found(kind, part):
+    for text in (part, f"see {part} now", f"in 2019 we saw {part} or so"):
+        assert (kind, text.index(part), text.index(part) + len(part)) in pii.spans_of(text)[1], text
+    assert ("ip", 12, 28) in pii.spans_of("in 2019 one 10[.]0[.]0[.]255")[1]  # the number before it is none of it
+
+
 def test_the_gate_changes_no_result():
     text = "call plus 49 30 1234 5678 now"
     assert ("phone", 5, 25) in pii.spans_of(text)[1]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from hirelake.functions import text as tx
-from hirelake.operators import copilot, dedupe, embed, freshness, market, match, normalize, ops, skills
+from hirelake.operators import cells, copilot, dedupe, embed, freshness, market, match, normalize, ops, skills
 from hirelake.plans import roles
 from hirelake.session import fresh_dir, materialize, spread, tune
 from hirelake.sources import adapters, stores
@@ -371,7 +371,12 @@ def match_exact(spark, sf):
 
 
 def match_ann(spark, sf):
-    return match.match_ann(roles.vector_profiles(spark, sf), roles.vector_jobs(spark, sf), 10, OTHERS)
+    """An index of the odd postings, to which the even ones are added without a new fit."""
+    jobs, path = roles.vector_jobs(spark, sf), fresh_dir(spark, "index")
+    odd = F.col("job_id") % 2 == 1
+    cells.write_index(jobs.where(odd), path)
+    cells.add_to_index(jobs.where(~odd), path)
+    return match.match_ann(roles.vector_profiles(spark, sf), path, 10, OTHERS)
 
 
 def match_filtered(spark, sf):
@@ -379,12 +384,13 @@ def match_filtered(spark, sf):
 
 
 def match_all(spark, sf):
-    return match.match_tiled(
+    return match.top_matches(
         roles.vector_profiles(spark, sf), roles.vector_jobs(spark, sf), 10, OTHERS, tile_rows=1024)
 
 
 def search_text(spark, sf):
-    jobs = embed.embed(roles.documents(spark, sf), DOC_MODEL).withColumnRenamed("posting_id", "job_id")
+    jobs = materialize(embed.embed(roles.documents(spark, sf), DOC_MODEL).select(
+        F.col("posting_id").alias("job_id"), "embedding", "model_id"), "vectors")
     asked = roles.table(spark, sf, "benchmark").withColumnRenamed("item_id", "profile_id")
     return match.search(asked, jobs, 3, DOC_MODEL)
 

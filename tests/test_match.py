@@ -5,7 +5,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from hirelake.operators import embed, match
+from hirelake.operators import cells, embed, match
 from hirelake.operators.match import Rules
 
 # Executors need the classes of this file but cannot import it.
@@ -57,13 +57,13 @@ def test_filters_come_before_the_top_k(spark):
     people, jobs, a, b = frames(spark)
     want = brute(people, jobs, 4, wished)
     assert ranking(match.match(a, b, 4, WISH)) == want
-    assert ranking(match.top_matches(a, b, 4, WISH, broadcast_values=1, tile_rows=16)) == want
-    assert ranking(match.match_tiled(a, b, 4, WISH, tile_rows=9)) == want
+    assert ranking(match.top_matches(a, b, 4, WISH, tile_rows=9)) == want
+    assert ranking(match.top_matches(a, b, 4, WISH, tile_rows=3, n_cells=20)) == want
 
 
 def test_approximate_results_are_allowed_and_correctly_scored(spark):
     people, jobs, a, b = frames(spark)
-    near = match.match_ann(a, b, 4, WISH, tables=6, bits=2, tile_rows=16)
+    near = match.top_matches(a, b, 4, WISH, tile_rows=16, n_cells=20, recall=0.95)
     rows = near.collect()
     assert all(wished(people[r.profile_id], jobs[r.job_id]) for r in rows)
     exact = {(r.profile_id, r.job_id): r.score for r in match.match(a, b, 90, WISH).collect()}
@@ -75,12 +75,13 @@ def test_approximate_results_are_allowed_and_correctly_scored(spark):
 
 def test_rows_without_a_vector_take_no_part(spark):
     _, _, a, b = frames(spark)
-    holes = [(900, None, "x", 60.0), (901, [], "y", 60.0), (902, [1.0, None, 0.0, 0.0, 0.0, 0.0], "x", 60.0)]
+    holes = [(900, None, "x", 60.0), (901, [], "y", 60.0), (902, [1.0, None, 0.0, 0.0, 0.0, 0.0], "x", 60.0),
+             (903, [float("nan"), *[1.0] * 5], "x", 60.0), (904, [float("inf"), *[1.0] * 5], "x", 60.0)]
     more_jobs = spark.createDataFrame(holes, JOBS).unionByName(b)
     more_people = spark.createDataFrame(holes, PEOPLE).unionByName(a)
     want = ranking(match.match(a, b, 4, WISH))
     assert ranking(match.match(more_people, more_jobs, 4, WISH)) == want
-    assert ranking(match.match_tiled(more_people, more_jobs, 4, WISH, tile_rows=9)) == want
+    assert ranking(match.top_matches(more_people, more_jobs, 4, WISH, tile_rows=9, n_cells=12)) == want
     assert ranking(match.match_ann(more_people, more_jobs, 4, WISH)) == ranking(match.match_ann(a, b, 4, WISH))
 
 
@@ -96,6 +97,86 @@ def test_approximate_recall_holds_with_size(spark):
         assert len(best & near) / len(best) >= 0.95
 
 
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """200,000 vectors around 400 centres, with two columns to filter by."""
+    from hirelake.session import materialize
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((400, 16))
+
+    def make(frames):
+        for f in frames:
+            spot = np.random.default_rng(int(f["id"].iloc[0]))
+            v = centres[f["id"] % 400] + 0.7 * spot.standard_normal((len(f), 16))
+            yield f.assign(embedding=list(v), place=[str(x) for x in f["id"] % 7], comp=(f["id"] % 100).astype(float)).rename(
+                columns={"id": "job_id"})
+
+    return materialize(spark.range(200_000, numPartitions=16).mapInPandas(
+        make, "job_id bigint, embedding array<double>, place string, comp double"), "clustered")
+
+
+def people_of(jobs, n):
+    return jobs.where(f"job_id < {n}").select(
+        F.col("job_id").alias("profile_id"), "embedding", F.when(F.col("job_id") % 3 > 0, F.col("place")).alias("home"),
+        F.when(F.col("job_id") % 2 == 0, 97.0).alias("floor"))
+
+
+def test_stored_index_finds_the_best_with_filters_and_grows(spark, clustered, tmp_path):
+    people, path = people_of(clustered, 300), str(tmp_path / "index")
+    cells.write_index(clustered.where("job_id % 4 = 0"), path, cells=256)
+    before = spark.read.parquet(f"{path}/rows").inputFiles()
+    cells.add_to_index(clustered.where("job_id % 4 <> 0"), path)
+    assert set(before) < set(spark.read.parquet(f"{path}/rows").inputFiles())
+    assert spark.read.parquet(f"{path}/rows").count() == 200_000
+    for rules in (Rules(), WISH):
+        met = match.searched(people, cells.read_index(spark, path), 10, rules, recall=0.95)
+        near = {(r.profile_id, r.job_id): r.score for r in met[0].collect()}
+        best = {(r.profile_id, r.job_id): r.score for r in match.match(people, clustered, 10, rules).collect()}
+        assert len(best) == 3000  # every profile has k allowed jobs, and gets them
+        assert len(near) == 3000 and len(best.keys() & near.keys()) / 3000 >= 0.95
+        assert all(best[x] == near[x] for x in best.keys() & near.keys())
+        seen = met[1].agg(F.avg("met")).first()[0]
+        assert seen < 80_000  # of 200,000 rows; these clusters overlap
+
+
+def test_bounds_rule_out_cells_and_lose_nothing(spark, clustered):
+    """Tight clusters: the exact search meets few rows, and finds what all rows hold."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((50, 12))
+    rows = [(i, (centres[i % 50] + 0.05 * rng.standard_normal(12)).tolist()) for i in range(6000)]
+    jobs = spark.createDataFrame(rows, "job_id bigint, embedding array<double>")
+    people = jobs.where("job_id < 200").withColumnRenamed("job_id", "profile_id")
+    found, met = match.searched(people, match.in_cells(jobs, n_cells=60), 5)
+    everything = match.searched(people, match.in_cells(jobs, n_cells=1), 5)[0]
+    assert ranking(found) == ranking(everything)
+    share = met.agg(F.avg("met")).first()[0] / 6000
+    assert share < 0.25
+
+
+def test_a_hot_cell_is_many_tiles_and_ties_keep_the_smaller_id(spark):
+    jobs = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [float(i), 1.0]) for i in range(3000)],
+                                 "job_id bigint, embedding array<double>")
+    people = spark.createDataFrame([(0, [2.0, 0.0]), (1, [0.0, 0.0])], "profile_id bigint, embedding array<double>")
+    got = ranking(match.top_matches(people, jobs, 5, tile_rows=50, n_cells=30))
+    assert got[0] == [1, 2, 4, 5, 7] and got[1] == [0, 1, 2, 3, 4]
+
+
+def test_lengths_must_agree(spark):
+    a = spark.createDataFrame([(1, [1.0, 2.0])], "profile_id bigint, embedding array<double>")
+    b = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "job_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="different lengths"):
+        match.match(a, b, 3).collect()
+    with pytest.raises(ValueError, match="different lengths"):
+        match.match(a, b.unionByName(spark.createDataFrame([(2, [1.0])], b.schema)), 3).collect()
+
+
+def test_huge_components_do_not_overflow(spark):
+    a = spark.createDataFrame([(1, [1e200, 0.0]), (2, [1e-200, 1e-200])], "profile_id bigint, embedding array<double>")
+    b = spark.createDataFrame([(1, [1e250, 0.0]), (2, [0.0, 3.0])], "job_id bigint, embedding array<double>")
+    rows = {(r.profile_id, r.job_id): r.score for r in match.match(a, b, 2).collect()}
+    assert rows == {(1, 1): 1.0, (1, 2): 0.0, (2, 1): 0.707107, (2, 2): 0.707107}
+
+
 def test_empty_sides(spark):
     _, _, a, b = frames(spark)
     assert match.top_matches(a.limit(0), b, 3).count() == 0
@@ -106,6 +187,8 @@ def test_models_must_agree(spark):
     _, _, a, b = frames(spark)
     with pytest.raises(ValueError):
         match.top_matches(a.withColumn("model_id", F.lit("m1")), b.withColumn("model_id", F.lit("m2")), 3)
+    with pytest.raises(ValueError):
+        match.top_matches(a.withColumn("model_id", F.lit("m1")), b, 3)
     assert embed.assert_same_model(a.withColumn("model_id", F.lit("m1"))) == "m1"
 
 

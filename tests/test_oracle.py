@@ -38,7 +38,7 @@ def test_entry_explains_every_match(spark):
 def test_approximate_match_recalls_most_of_the_exact_one(spark):
     exact = {(r.profile_id, r.job_id) for r in driver.queries()["match_exact"](spark, SF).collect()}
     near = {(r.profile_id, r.job_id) for r in driver.queries()["match_ann"](spark, SF).collect()}
-    assert len(exact & near) / len(exact) >= 0.6
+    assert len(exact & near) / len(exact) >= 0.95
 
 
 def test_search_finds_the_texts_that_hold_the_query(spark):

@@ -7,15 +7,19 @@ copies is. ``resolve_clusters`` closes the edges of all tiers transitively.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hirelake.functions import text as tx
+from hirelake.operators.cells import unit_rows, usable
+from hirelake.operators.meeting import earliest_matches
 from hirelake.plans.skew import HOT_ROWS, join_counted
 from hirelake.plans.tiles import tiled
 from hirelake.session import materialize
@@ -156,6 +160,84 @@ def dedupe_semantic(df: DataFrame, threshold: float, block: list[str] | None = N
     return matched.unionByName(of_copies).withColumn("tier", F.lit("semantic"))
 
 
+def bands_for(threshold: float, bits: int, recall: float) -> int:
+    """Bands of ``bits`` random hyperplanes in which two vectors at the threshold share a bucket of
+    at least one with the wanted probability."""
+    agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(agree, 1 - 1e-12))))
+
+
+def dedupe_similar(df: DataFrame, threshold: float, block: list[str] | None = None, row_id: str = "posting_id",
+                   bits: int = 16, recall: float = 0.98, most_bands: int = 256, seed: int = 9) -> DataFrame:
+    """Tier 3 at scale: link each posting to the earliest similar one that banded hashing finds in
+    its block. ``recall`` is the chance to find a pair right at the threshold; closer pairs are
+    found almost always. Every edge is checked on the vectors themselves.
+
+    A vector gets one bucket per band, from the signs of ``bits`` random projections. Only
+    ids travel to the buckets, and ``earliest_matches`` keeps the tested pairs linear in a group of
+    copies. A low threshold needs many bands; beyond ``most_bands`` use ``dedupe_semantic``.
+    """
+    block = list(block or [])
+    bands = bands_for(threshold, bits, recall)
+    if bands > most_bands:
+        raise ValueError(f"a threshold of {threshold} needs {bands} bands of {bits} bits; lower bits, or compare exactly")
+    rows = usable(df.select(row_id, "embedding", *block)).where(F.exists("embedding", lambda x: x != 0))
+    reps, copies = _collapse(rows, "embedding", row_id, block)
+    kind = dict(reps.dtypes)[row_id]
+    reps = reps.select(F.col(row_id).alias("id"), "embedding", F.struct(F.lit(0).alias("all"), *block).alias("block"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}  # by vector length
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            vectors = batch.column("embedding").to_numpy(zero_copy_only=False)
+            lengths = np.array([len(v) for v in vectors], np.int64)
+            codes = np.zeros((len(vectors), bands), np.int64)
+            for n in np.unique(lengths).tolist():
+                if n not in planes:
+                    planes[n] = np.random.default_rng([seed, n]).standard_normal((n, bands * bits))
+                own = np.flatnonzero(lengths == n)
+                up = unit_rows(vectors[own]) @ planes[n] > 0
+                codes[own] = (up.reshape(len(own), bands, bits) * powers).sum(2)
+            codes = (np.arange(bands) << bits) + codes
+            ends = pa.array(np.arange(len(codes) + 1) * bands, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("block"), pa.ListArray.from_arrays(ends, pa.array(codes.ravel()))],
+                ["id", "block", "codes"])
+
+    signed = reps.select("id", "block", "embedding").mapInArrow(sign, f"id {kind}, block {dict(reps.dtypes)['block']}, codes array<long>")
+    members = signed.select("id", F.explode("codes").alias("code"), "block").select("id", F.struct("block", "code").alias("point"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(reps.select("id", F.col("embedding").alias("a")), "id").join(
+            reps.select(F.col("id").alias("other"), F.col("embedding").alias("b")), "other")
+        return both.where(F.size("a") == F.size("b")).select("id", "other", "a", "b").mapInArrow(
+            _cosines, f"id {kind}, other {kind}, score double").where(F.col("score") >= threshold)
+
+    found = earliest_matches(members, verify)
+    return _with_copies(found, copies, row_id).withColumn("tier", F.lit("semantic"))
+
+
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cosine similarity of the vectors of each pair, to six places."""
+    for batch in batches:
+        a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in "ab")
+        lengths = np.array([len(v) for v in a], np.int64)
+        score = np.zeros(len(a))
+        for n in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == n)
+            score[own] = np.round((unit_rows(a[own]) * unit_rows(b[own])).sum(1), 6)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("other"), pa.array(score)], ["id", "other", "score"])
+
+
+def _with_copies(found: DataFrame, copies: DataFrame, row_id: str) -> DataFrame:
+    """Matches of representatives, and those of the rows that have the same content."""
+    own = found.select(F.col("id").alias(row_id), "dup_of", "score")
+    of_copies = copies.join(found.select(F.col("id").alias("_rep"), "dup_of", "score"), "_rep", "left").select(
+        row_id, F.coalesce("dup_of", "_rep").alias("dup_of"), F.coalesce("score", F.lit(1.0)).alias("score"))
+    return own.unionByName(of_copies)
+
+
 # ---- tier 3 by wording: similar shingle sets ------------------------------------
 
 def shingles(words, n: int = 3):
@@ -254,6 +336,64 @@ def near_dup_text(df: DataFrame, jaccard: float, row_id: str = "posting_id",
     return own.unionByName(of_copies).withColumn("tier", F.lit("wording"))
 
 
+def minhash_shape(jaccard: float, recall: float, most_rows: int = 5) -> tuple[int, int]:
+    """Bands and rows of a band: as many rows as keep the bands at 128 or fewer."""
+    for rows in range(most_rows, 0, -1):
+        bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(jaccard ** rows, 1 - 1e-12))))
+        if bands <= 128 or rows == 1:
+            return bands, rows
+    raise AssertionError
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values spread by two odd factors."""
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def near_dup_minhash(df: DataFrame, jaccard: float, row_id: str = "posting_id", text: str = "description",
+                     recall: float = 0.98, seed: int = 1) -> DataFrame:
+    """The approximate form of ``near_dup_text``: MinHash signatures in bands. One row per posting that has an
+    earlier similar one; texts with equal shingle sets collapse to a representative first.
+
+    Signatures are minima over the mixed shingle hashes; only ids and band hashes are shuffled to
+    find candidates, which are checked on the whole sets.
+    """
+    bands, rows = minhash_shape(jaccard, recall)
+    words = df.select(row_id, tx.tokens(text).alias("_words"))
+    sets = words.select(row_id, shingles(F.col("_words")).alias("_set"))
+    reps, copies = _collapse(sets, "_set", row_id)
+    reps = reps.select(F.col(row_id).alias("id"), F.col("_set").alias("set")).where(F.size("set") > 0)
+
+    kind = dict(reps.dtypes)["id"]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = np.random.default_rng(seed).integers(0, 2**63, (bands, rows), np.int64).astype(np.uint64)
+        for batch in batches:
+            keys = np.zeros((batch.num_rows, bands), np.uint64)
+            for place, own in enumerate(batch.column("set").to_numpy(zero_copy_only=False)):
+                own = np.asarray(own, np.int64).view(np.uint64)
+                for band in range(bands):  # one band at a time, so a long text needs no large matrix
+                    lowest = _mixed(own[None, :] ^ seeds[band][:, None]).min(1)
+                    keys[place, band] = _mixed(np.cumsum(_mixed(lowest + np.uint64(band))))[-1]
+            ends = pa.array(np.arange(len(keys) + 1) * bands, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel()))], ["id", "keys"])
+
+    signed = reps.mapInArrow(sign, f"id {kind}, keys array<long>")
+    members = signed.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.struct("band", "key").alias("point"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(reps.select("id", F.col("set").alias("a")), "id").join(
+            reps.select(F.col("id").alias("other"), F.col("set").alias("b")), "other")
+        common = F.size(F.array_intersect("a", "b"))
+        return both.withColumn("common", common).withColumn(
+            "score", F.col("common") / (F.size("a") + F.size("b") - F.col("common"))).where(F.col("score") >= jaccard)
+
+    return _with_copies(earliest_matches(members, verify), copies, row_id).withColumn("tier", F.lit("wording"))
+
+
 # ---- transitive closure and survivors -------------------------------------------
 
 def resolve_clusters(edges: DataFrame, a: str = "posting_id", b: str = "dup_of",

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from hirelake.functions.text import WORD_BREAK
+from hirelake.functions.text import WORD_BREAK, tokens
 
 
 class EmbeddingProvider(Protocol):
@@ -50,6 +53,82 @@ class HashingEmbedding:
         ).drop("_text", "_words", "_tf", "_unit")
 
 
+class WordSlots(dict):
+    """The slot of a word, remembered for frequent ones; emptied when it is full."""
+
+    def __init__(self, dim: int) -> None:
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        slot = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
+        return slot
+
+    def counts(self, words: list[str] | None) -> np.ndarray:
+        return np.bincount(np.fromiter(map(self.__getitem__, words or ()), np.int64), minlength=self.dim)
+
+
+class FittedEmbedding:
+    """Hashed term counts weighted by inverse document frequency and scaled to unit length.
+
+    The fitted state is how many texts use each slot, ``dim`` numbers however large the corpus. Its
+    digest is part of ``model_id``: vectors of another fit are never compared with these, and
+    ``pending_embeddings`` asks for all texts again when the model changes. A slot that no fitted
+    text uses has the highest weight; a text without words has the zero vector.
+    """
+
+    def __init__(self, n_texts: int, uses: list[int]) -> None:
+        self.n_texts, self.uses, self.dim = n_texts, list(uses), len(uses)
+        said = f"{n_texts}:{','.join(map(str, self.uses))}"
+        self.model_id = f"idf-{self.dim}-{hashlib.md5(said.encode()).hexdigest()[:12]}"
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str = "description", dim: int = 256) -> FittedEmbedding:
+        """Count the slots that each text uses, map-side; one row per task is summed up."""
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slots, uses, n = WordSlots(dim), np.zeros(dim, np.int64), 0
+            for batch in batches:
+                for words in batch.column(0).to_pylist():
+                    uses += slots.counts(words) > 0
+                    n += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n]), pa.array([uses.tolist()], pa.list_(pa.int64()))], ["n", "uses"])
+
+        counted = df.select(tokens(text).alias("words")).mapInArrow(count, "n long, uses array<long>")
+        total = counted.select("n", F.posexplode("uses").alias("slot", "c")).groupBy("slot").agg(
+            F.sum("c").alias("c"), F.sum("n").alias("n")).orderBy("slot").collect()  # ``dim`` rows
+        return cls(total[0].n if total else 0, [r.c for r in total] or [0] * dim)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Keep this version beside others; the folder holds one small table per model."""
+        spark.createDataFrame([(self.model_id, self.n_texts, self.uses)], "model_id string, n_texts long, uses array<long>").coalesce(
+            1).write.mode("overwrite").parquet(f"{path}/{self.model_id}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, model_id: str) -> FittedEmbedding:
+        row = spark.read.parquet(f"{path}/{model_id}").first()
+        return cls(row.n_texts, row.uses)
+
+    def embed_frame(self, df: DataFrame, text: str) -> DataFrame:
+        weights = np.log((self.n_texts + 1.0) / (np.array(self.uses) + 1.0))
+        dim, names = self.dim, df.columns
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slots = WordSlots(dim)
+            for batch in batches:
+                raw = np.array([slots.counts(w) for w in batch.column(len(names)).to_pylist()]).reshape(-1, dim) * weights
+                norms = np.sqrt((raw ** 2).sum(1, keepdims=True))
+                unit = (raw / np.where(norms == 0, 1.0, norms)).astype(np.float32)
+                ends = pa.array(np.arange(len(unit) + 1) * dim, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:len(names)], pa.ListArray.from_arrays(ends, pa.array(unit.ravel()))], [*names, "embedding"])
+
+        schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+        return df.select("*", tokens(text)).mapInArrow(encode, f"{schema}, embedding array<float>")
+
+
 def text_hash(text):
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 

@@ -243,8 +243,28 @@ def dedupe_title_company(spark, sf):
     return dedupe.dedupe_title_company(_silver(spark, sf))
 
 
+def _similar_titles(df: DataFrame) -> DataFrame:
+    """Tier 3: titles of one company that differ in common words only, such as the level."""
+    named = df.where((F.col("title_norm") != "") & (F.col("company_norm") != ""))
+    return dedupe.dedupe_similar(named, 0.85, ["company_norm"], bits=8, recall=0.9999)
+
+
 def dedupe_cascade(spark, sf):
-    return dedupe.dedupe(_silver(spark, sf), _tiers())
+    """All three tiers; the vectors of the third are made of weighted title words."""
+    silver = _silver(spark, sf)
+    model = embed.FittedEmbedding.fit(silver, "title_norm")
+    return dedupe.dedupe(embed.embed(silver, model, "title_norm"), [*_tiers(), _similar_titles])
+
+
+def dedupe_similar(spark, sf):
+    titles = roles.job_parts(spark, sf).select(
+        F.col("p_partkey").alias("posting_id"), tx.norm_title("title").alias("title_norm"), "company")
+    vectors = materialize(embed.embed(titles, embed.FittedEmbedding.fit(titles, "title_norm"), "title_norm"), "vectors")
+    return dedupe.dedupe_similar(vectors, 0.85, ["company"], bits=8, recall=0.9999)
+
+
+def near_dup_minhash(spark, sf):
+    return _round(dedupe.near_dup_minhash(roles.documents(spark, sf), 0.7), "score")
 
 
 def dedupe_semantic(spark, sf):
@@ -337,18 +357,28 @@ WISHES = match.Rules(equal=(("place", "home"),), at_least=(("comp", "comp_floor"
 OTHERS = match.Rules(exclude_self=True)
 
 
+def _doc_model(docs: DataFrame) -> embed.FittedEmbedding:
+    return embed.FittedEmbedding.fit(docs)
+
+
+def _shown(vector: str):
+    """The components that are not zero, to four places."""
+    parts = F.transform(vector, lambda x, i: F.when(x != 0, F.concat_ws(
+        ":", i, F.round(x.cast("double") * 10000).cast("bigint"))))
+    return F.array_join(parts, ",")
+
+
 def embedded(spark, sf):
-    out = embed.embed(roles.documents(spark, sf), DOC_MODEL)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return out.select("posting_id", "model_id", "text_hash", F.size("embedding").alias("dim"),
-                      F.round(norm, 4).alias("norm"))
+    docs = roles.documents(spark, sf)
+    return embed.embed(docs, _doc_model(docs)).select("posting_id", "model_id", "text_hash", _shown("embedding").alias("vector"))
 
 
 def same_model(spark, sf):
-    jobs = embed.embed(roles.documents(spark, sf), DOC_MODEL)
-    asked = embed.embed(roles.table(spark, sf, "benchmark"), DOC_MODEL, "text")
-    model = embed.assert_same_model(jobs, asked)
-    return jobs.select("posting_id", "model_id").where(F.col("model_id") == model)
+    docs = roles.documents(spark, sf)
+    model = _doc_model(docs)
+    jobs = embed.embed(docs, model)
+    name = embed.assert_same_model(jobs, embed.embed(roles.table(spark, sf, "benchmark"), model, "text"))
+    return jobs.select("posting_id", "model_id").where(F.col("model_id") == name)
 
 
 def pending_embeddings(spark, sf):
@@ -362,8 +392,8 @@ def pending_embeddings(spark, sf):
 
 def embedded_profiles(spark, sf):
     asked = roles.table(spark, sf, "benchmark").withColumnRenamed("item_id", "profile_id")
-    return embed.embed(asked, DOC_MODEL, "text").select(
-        "profile_id", "model_id", F.size("embedding").alias("dim"))
+    return embed.embed(asked, _doc_model(roles.documents(spark, sf)), "text").select(
+        "profile_id", "model_id", _shown("embedding").alias("vector"))
 
 
 def match_exact(spark, sf):
@@ -389,10 +419,12 @@ def match_all(spark, sf):
 
 
 def search_text(spark, sf):
-    jobs = materialize(embed.embed(roles.documents(spark, sf), DOC_MODEL).select(
+    docs = roles.documents(spark, sf)
+    model = _doc_model(docs)
+    jobs = materialize(embed.embed(docs, model).select(
         F.col("posting_id").alias("job_id"), "embedding", "model_id"), "vectors")
     asked = roles.table(spark, sf, "benchmark").withColumnRenamed("item_id", "profile_id")
-    return match.search(asked, jobs, 3, DOC_MODEL)
+    return match.search(asked, jobs, 3, model)
 
 
 def _explained(spark, sf, weighted: bool = False) -> DataFrame:
@@ -578,7 +610,8 @@ QUERIES = {f.__name__: f for f in [
     normalized_store, embedding_store, profile_files, html_pages,
     normalized, canonical_url, posting_key, norm_title, norm_company, parse_comp, norm_location, seniority,
     extract_skills, keywords, filtered, job_detail,
-    dedupe_external_id, dedupe_url, dedupe_title_company, dedupe_cascade, dedupe_semantic, near_dup_text,
+    dedupe_external_id, dedupe_url, dedupe_title_company, dedupe_cascade, dedupe_semantic, dedupe_similar, near_dup_text,
+    near_dup_minhash,
     resolve_clusters, merged_jobs, job_provenance,
     seen, seen_update, added_last_day, stale_postings, current_openings, jobs_added_last_day, job_openings, openings_by_day, replayed,
     embedded, same_model, pending_embeddings, embedded_profiles, match_exact, match_ann, match_filtered, match_all,

@@ -87,6 +87,40 @@ def _plain(c: str) -> str:
     return _decode(c)
 
 
+_DIM = 256
+
+
+def _fit(view: str, text: str, name: str = "fit") -> str:
+    """Slot weights of a view's texts, and the name of the model they make."""
+    return f"""{name}_w AS (SELECT rid, ('0x' || substr(md5(term), 1, 8))::BIGINT % {_DIM} AS slot FROM
+    (SELECT rid, unnest({_tokens('t')}) AS term FROM (SELECT row_number() OVER () AS rid, {text} AS t FROM {view}))),
+  {name}_n AS (SELECT count(*) AS n FROM {view}),
+  {name} AS (SELECT r.slot, coalesce(c, 0) AS uses, ln((n + 1.0::DOUBLE) / (coalesce(c, 0) + 1.0::DOUBLE)) AS weight
+    FROM (SELECT unnest(range({_DIM})) AS slot) r CROSS JOIN {name}_n LEFT JOIN
+    (SELECT slot, count(DISTINCT rid) AS c FROM {name}_w GROUP BY 1) u ON u.slot = r.slot),
+  {name}_id AS (SELECT 'idf-{_DIM}-' || substr(md5(any_value(n) || ':' || string_agg(uses, ',' ORDER BY slot)), 1, 12) AS model_id
+    FROM {name}, {name}_n)"""
+
+
+def _vectors(view: str, row_id: str, text: str, name: str, fit: str = "fit") -> str:
+    """Unit vectors of a view's texts as lists of single-precision numbers."""
+    return f"""{name}_s AS (SELECT id, slot, count(*) AS tf FROM (SELECT id, ('0x' || substr(md5(term), 1, 8))::BIGINT % {_DIM} AS slot
+    FROM (SELECT {row_id} AS id, unnest({_tokens(text)}) AS term FROM {view})) GROUP BY 1, 2),
+  {name}_x AS (SELECT id, slot, tf * weight AS x FROM {name}_s JOIN {fit} USING (slot)),
+  {name}_u AS (SELECT id, slot, (x / sqrt(sum(x * x) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM {name}_x),
+  {name}_l AS (SELECT id, map_from_entries(list((slot, x))) AS m FROM {name}_u GROUP BY 1),
+  {name} AS (SELECT {row_id} AS id, list_transform(range({_DIM}), lambda i: coalesce(m[i], 0.0::DOUBLE)) AS v
+    FROM {view} LEFT JOIN {name}_l ON id = {row_id})"""
+
+
+def _similar(name: str, threshold: float, block: str | None, tier: str) -> str:
+    """Rows of some vectors linked to the earliest similar one of their block."""
+    same = "true" if block is None else f"a.{block} = b.{block}"
+    return f"""SELECT posting_id, min(dup_of) AS dup_of, arg_min(score, dup_of) AS score, '{tier}' AS tier FROM
+    (SELECT a.id AS posting_id, b.id AS dup_of, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM {name} a JOIN {name} b
+      ON b.id < a.id AND {same} WHERE list_sum(a.v) > 0 AND list_sum(b.v) > 0) WHERE score >= {threshold} GROUP BY 1"""
+
+
 # ---- role views ----------------------------------------------------------------------
 
 JP = """jp AS (SELECT p_partkey, CASE WHEN p_size <= 12 THEN 'Jr. ' WHEN p_size <= 25 THEN ''
@@ -174,6 +208,13 @@ def _cascade(base: str, view: str) -> str:
   t2 AS ({_edges('surv', ['title_norm', 'company_norm'], 'title_company', _NAMED)})"""
 
 
+def _third(view: str) -> str:
+    return f"""{_fit(view, 'title_norm')}, surv2 AS (SELECT * FROM surv WHERE {_NAMED}
+    AND posting_id NOT IN (SELECT posting_id FROM t2)),
+  {_vectors('surv2', 'posting_id', 'title_norm', 'tv')}, tvb AS (SELECT tv.*, company_norm FROM tv JOIN surv2 ON posting_id = id),
+  t3 AS (SELECT posting_id, dup_of, tier FROM ({_similar('tvb', 0.85, 'company_norm', 'semantic')}))"""
+
+
 CLEAN = f"""{POST}, clean AS (SELECT *, {_title('title')} AS title_norm, {_company('company')} AS company_norm FROM post)"""
 JOBS = f"""{_cascade(CLEAN, 'clean')}, members AS (SELECT c.*, coalesce(t2.dup_of, t1.dup_of, c.posting_id) AS job_id
   FROM clean c LEFT JOIN t1 ON c.posting_id = t1.posting_id
@@ -196,6 +237,9 @@ def _pct(c: str, probs: dict[str, float], places: int = 4) -> str:
 _Q = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 _LETTER = "'Dear hiring team,' || chr(10) || chr(10) || {} || chr(10) || chr(10) || 'Kind regards'"
 _RAWVIEW = f"WITH {RAW} SELECT source, external_id, url, {_ts('fetched_at')} AS fetched_at, employer FROM raw"
+# The components that are not zero, to four places.
+_SHOWN = ("array_to_string(list_filter(list_transform(range(256), lambda i: CASE WHEN v[i + 1] <> 0 THEN i || ':' || "
+          "CAST(round(v[i + 1] * 10000) AS BIGINT) END), lambda x: x IS NOT NULL), ',')")
 _DOW = ", ".join(f"('{a}', '{b}')" for a, b in ALLOWED_MOVES)
 _NEXT = ("lead(at_) OVER (PARTITION BY profile_id, job_id ORDER BY at_, event_id)")
 
@@ -252,7 +296,11 @@ SQL: dict[str, str] = {
     "dedupe_url": f"""WITH p AS (SELECT page_id AS posting_id, {_url('url')} AS canonical_url FROM pages)
       {_edges('p', ['canonical_url'], 'exact')}""",
     "dedupe_title_company": f"WITH {NORM} {_edges('norm', ['title_norm', 'company_norm'], 'title_company', _NAMED)}",
-    "dedupe_cascade": f"WITH {_cascade(NORM, 'norm')} SELECT * FROM t1 UNION ALL SELECT * FROM t2",
+    "dedupe_cascade": f"""WITH {_cascade(NORM, 'norm')}, {_third('norm')} SELECT * FROM t1 UNION ALL SELECT * FROM t2
+      UNION ALL SELECT * FROM t3""",
+    "dedupe_similar": f"""WITH {JP}, titles AS (SELECT p_partkey, {_title('title')} AS title_norm, company FROM jp),
+      {_fit('titles', 'title_norm')}, {_vectors('titles', 'p_partkey', 'title_norm', 'tv')},
+      tvb AS (SELECT tv.*, company FROM tv JOIN titles ON p_partkey = id) {_similar('tvb', 0.85, 'company', 'semantic')}""",
     "dedupe_semantic": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
       p AS (SELECT a.vec_id AS posting_id, b.vec_id AS dup_of, round(list_cosine_similarity(a.v, b.v), 6) AS score
         FROM e a JOIN e b ON a.label = b.label AND b.vec_id < a.vec_id)
@@ -298,14 +346,21 @@ SQL: dict[str, str] = {
       SELECT role, CAST(day AS VARCHAR) AS day, CAST(sum(coalesce(s, 0)) OVER (PARTITION BY role ORDER BY day) AS BIGINT)
         AS open_postings FROM days LEFT JOIN ch USING (role, day)""",
     "replayed": f"SELECT event_id, event_type, {_ts('ts', True)} AS ts FROM events",
-    "embedded": f"""SELECT doc_id AS posting_id, 'hashing-tf-256' AS model_id, sha256(text) AS text_hash,
-      256::INTEGER AS dim, CASE WHEN len({_tokens('text')}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
-      FROM documents""",
-    "same_model": "SELECT doc_id AS posting_id, 'hashing-tf-256' AS model_id FROM documents",
+    "embedded": f"""WITH {_fit('documents', 'text')}, {_vectors('documents', 'doc_id', 'text', 'dv')}
+      SELECT id AS posting_id, model_id, sha256(coalesce(text, '')) AS text_hash, {_SHOWN} AS vector
+      FROM dv JOIN documents ON doc_id = id, fit_id""",
+    "same_model": f"WITH {_fit('documents', 'text')} SELECT doc_id AS posting_id, model_id FROM documents, fit_id",
     "pending_embeddings": """SELECT doc_id AS posting_id, sha256(text) AS text_hash FROM documents
       WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""",
-    "embedded_profiles": """SELECT item_id AS profile_id, 'hashing-tf-256' AS model_id, 256::INTEGER AS dim
-      FROM benchmark""",
+    "embedded_profiles": f"""WITH {_fit('documents', 'text')}, {_vectors('benchmark', 'item_id', 'text', 'bv')}
+      SELECT id AS profile_id, model_id, {_SHOWN} AS vector FROM bv, fit_id""",
+    "search_text": f"""WITH {_fit('documents', 'text')}, {_vectors('documents', 'doc_id', 'text', 'dv')},
+      {_vectors('benchmark', 'item_id', 'text', 'bv')},
+      s AS (SELECT bv.id AS profile_id, dv.id AS job_id,
+        CASE WHEN list_sum(bv.v) > 0 AND list_sum(dv.v) > 0 THEN round(list_cosine_similarity(bv.v, dv.v), 6) ELSE 0.0 END AS score
+        FROM bv CROSS JOIN dv)
+      SELECT profile_id, job_id, score, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, job_id)::INTEGER AS rank
+      FROM s QUALIFY rank <= 3""",
     "match_exact": f"WITH {BEST10} SELECT * FROM best",
     "match_filtered": f"WITH {BEST5} SELECT * FROM best",
     "match_all": f"WITH {BEST10} SELECT * FROM best",

@@ -230,3 +230,25 @@ def test_template_column_equals_its_texts(spark):
     prompts = [("a",), ("",), (None,), ("two\nlines",)]
     got = embed.generate(spark.createDataFrame(prompts, "prompt string"), "prompt", provider).collect()
     assert [r.completion for r in got] == provider.complete([p or "" for p, in prompts])
+
+
+def test_fitted_embedding_is_versioned_and_asks_for_new_vectors(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "sql go sql"), (2, "go"), (3, None), (4, "")], "posting_id bigint, description string")
+    model = embed.FittedEmbedding.fit(docs, dim=16)
+    rows = {r.posting_id: r for r in embed.embed(docs, model).collect()}
+    slots = embed.WordSlots(16)
+    sql, go = slots["sql"], slots["go"]
+    assert sql != go and model.n_texts == 4 and (model.uses[sql], model.uses[go], sum(model.uses)) == (1, 2, 3)
+    want = np.zeros(16)
+    want[sql], want[go] = 2 * np.log(5 / 2), np.log(5 / 3)
+    assert np.allclose(rows[1].embedding, want / np.linalg.norm(want), atol=1e-6)
+    assert rows[2].embedding[go] == 1.0 and not any(rows[3].embedding) and not any(rows[4].embedding)
+    assert embed.FittedEmbedding.fit(docs.repartition(3), dim=16).model_id == model.model_id
+    model.save(spark, str(tmp_path))
+    assert embed.FittedEmbedding.load(spark, str(tmp_path), model.model_id).uses == model.uses
+    store = embed.embed(docs, model).select("posting_id", "model_id", "text_hash")
+    assert embed.pending_embeddings(docs, store, model.model_id).count() == 0
+    again = embed.FittedEmbedding.fit(docs.unionByName(docs.where("posting_id = 1")), dim=16)
+    assert again.model_id != model.model_id
+    assert embed.pending_embeddings(docs, store, again.model_id).count() == 4
+    assert embed.FittedEmbedding.fit(docs.limit(0), dim=16).uses == [0] * 16

@@ -8,7 +8,7 @@ from hirelake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 # Approximate or model-based: no SQL twin.
-NO_TWIN = {"match_ann", "search_text"}
+NO_TWIN = {"match_ann", "near_dup_minhash"}
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +41,12 @@ def test_approximate_match_recalls_most_of_the_exact_one(spark):
     assert len(exact & near) / len(exact) >= 0.95
 
 
+def test_minhash_recalls_most_of_the_exact_answer(spark):
+    exact = {(r.posting_id, r.dup_of, r.score) for r in driver.queries()["near_dup_text"](spark, SF).collect()}
+    near = {(r.posting_id, r.dup_of, r.score) for r in driver.queries()["near_dup_minhash"](spark, SF).collect()}
+    assert len(exact & near) >= 0.9 * len(exact) > 0
+
+
 def test_search_finds_the_texts_that_hold_the_query(spark):
     rows = driver.queries()["search_text"](spark, SF).collect()
     assert {r["rank"] for r in rows} == {1, 2, 3}

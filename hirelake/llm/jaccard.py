@@ -425,14 +425,26 @@ def components(docs: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFra
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents with one of each component: the one that gives it its id. Rows that
-    repeat an id are one document, of which the first text in order stays; rows without an
-    id stay."""
-    gone = components(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    known = known.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
-    return known.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    """The documents with one of each component: the one with the smallest id that stands once.
+
+    A document is decided by its id and its text: rows that share an id but not the text are judged
+    apart, and so are rows without an id; both come last in a component. Of rows that repeat both
+    id and text one stays, also of null and empty texts. Rows travel as structs, so no column name can clash.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    lean = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    often = materialize(lean.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "id", F.lit(True).alias("often")), "repeated-ids")
+    # An id that stands once names its row. The others get a 62-bit digest, above usual ids.
+    digest = F.xxhash64("id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    unsure = F.col("id").isNull() | F.col("often").isNotNull()
+    named = lean.join(often, "id", "left").withColumn("unsure", unsure).withColumn("key", F.when(unsure, digest).otherwise(F.col("id")))
+    found = components(named.select(F.col("key").alias("doc_id"), "text"), **how)
+    kept = named.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti")
+    once = kept.where("not unsure").select("row.*")
+    if often.isEmpty() and lean.where("id is null").isEmpty():
+        return once
+    return once.unionByName(kept.where("unsure").dropDuplicates(["key"]).select("row.*"))
 
 
 SQL = r"""

@@ -52,8 +52,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def planned(docs: DataFrame, seed: int = 17, **mix) -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies``."""
-    sized = docs.withColumn("_size", word_count())
+    """``docs`` with ``_size`` (counted from the text unless it is given), ``_source_size``,
+    ``_target`` and ``_copies``."""
+    sized = docs if "_size" in docs.columns else docs.withColumn("_size", word_count())
     per_source = targets(sized.groupBy("source").agg(F.sum("_size").alias("source_size")), **mix).select(
         F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
@@ -73,10 +74,11 @@ def mixing_plan(docs: DataFrame, **mix) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **mix) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with its own columns."""
-    rows = planned(docs, **mix).where(F.col("_copies") > 0)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: every document as often as it is taken, with its own columns, which travel
+    as a struct so that none can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = planned(docs.select(row.alias("row"), "doc_id", "source", word_count().alias("_size")), **mix)
+    return rows.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 SQL = r"""

@@ -34,7 +34,9 @@ def odd(spark):
             (7, long + " end", "de", "a"), (8, "12 34 ..", "en", "c"), (9, "two words", "de", "c"),
             (10, plain.upper() + " x", "en", "c"), (10, "two words", "de", "c")]
     df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], SCHEMA)
-    return df.withColumn("score", F.lit("mine")).withColumn("_n", F.lit(1))
+    for name in ("score", "_size", "_rate", "_copy", "_copies", "_nth", "row", "key", "size", "unsure"):
+        df = df.withColumn(name, F.lit("mine"))
+    return df.withColumn("_n", F.lit(1))
 
 
 @pytest.fixture(scope="module")
@@ -255,7 +257,7 @@ def test_components_of_odd_rows(spark, odd, empty):
     assert jaccard.components(empty).count() == 0
     left = jaccard.one_of_each(odd)
     assert left.columns == odd.columns
-    assert Counter(r.doc_id for r in left.collect()) == Counter({1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 8: 1, None: 2})  # both texts of 10 connect 9 with 1
+    assert Counter(r.doc_id for r in left.collect()) == Counter({1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 8: 1, 9: 1, None: 1})  # the texts of 10 are judged apart
 
 
 def test_tree_passes_over_no_possible_link():
@@ -577,6 +579,22 @@ def test_pipeline_stages_take_effect(spark, odd, empty):
             stage(spark, rows, SF).collect()
 
 
+def test_pipeline_keeps_every_clean_text(spark):
+    """Repeated and null ids: different texts stay, copies go, whatever row comes first."""
+    one, two, three = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, None), (5, one), (1, one + " end"), (1, two), (None, three), (None, three), (None, two + " more"), (None, None), (6, "few"),
+            (6, "few"), (7, "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("_nth", F.lit("mine"))
+    kept = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect())
+    texts = {t for _, t in kept}
+    assert max(kept.values()) == 1 and {(5, None), (None, None), (None, three), (7, "few")} <= kept.keys()
+    assert (one in texts) != (one + " end" in texts) and (two in texts) != (two + " more" in texts)
+    assert sum(t == "few" for _, t in kept) == 1 and len(kept) == 6
+    mixed = mixing.mixed(docs.withColumn("_rate", F.lit("mine")).withColumn("_size", F.lit("mine")))
+    assert mixed.columns == [*docs.columns, "_rate", "_size"]
+    assert all((r._rate, r._size, r._nth) == ("mine",) * 3 for r in mixed.collect())
+
+
 def test_sql_twins(spark):
     from compare import compare, duck
     con = duck(SF)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from hirelake.functions import text as tx
-from hirelake.operators import cells, copilot, dedupe, embed, freshness, market, match, normalize, ops, skills
+from hirelake.operators import cells, copilot, dedupe, embed, freshness, market, match, normalize, ops, sketches, skills
 from hirelake.plans import roles
 from hirelake.session import fresh_dir, materialize, spread, tune
 from hirelake.sources import adapters, stores
@@ -565,6 +565,38 @@ def top_skills(spark, sf):
     return market.top_skills(roles.postings(spark, sf), 5, unique=True)
 
 
+def _in_two_parts(df: DataFrame, at: str) -> list[DataFrame]:
+    """Even days, then odd ones: both together are the whole history."""
+    odd = F.datediff(F.to_date(at), F.lit("2000-01-01")) % 2 != 0
+    return [df.where(~F.coalesce(odd, F.lit(False))), df.where(F.coalesce(odd, F.lit(False)))]
+
+
+def comp_by_role_sketch(spark, sf):
+    path = fresh_dir(spark, "pay-sketches")
+    for part in _in_two_parts(roles.observed_jobs(spark, sf), "seen_at"):
+        sketches.add_quantile_days(part, path, ["role", "location"], "comp", "seen_at")
+    return sketches.quantiles_from(spark.read.parquet(path), ["role"], market.QUARTILES)
+
+
+def comp_trend_sketch(spark, sf):
+    path = fresh_dir(spark, "pay-sketches")
+    sketches.add_quantile_days(roles.observed_jobs(spark, sf), path, ["role"], "comp", "seen_at")
+    return _text(sketches.quantiles_from(spark.read.parquet(path), ["role"], {"p50": 0.5}, "month"), "period")
+
+
+def skill_trend_sketch(spark, sf):
+    path = fresh_dir(spark, "skill-sketches")
+    for part in _in_two_parts(roles.observed_jobs(spark, sf), "seen_at"):
+        sketches.add_distinct_days(part, path, "skills", "posting_id", "seen_at")
+    return _text(sketches.distinct_from(spark.read.parquet(path), "quarter").withColumnRenamed("key", "skill"), "period")
+
+
+def latency_sketch(spark, sf):
+    path = fresh_dir(spark, "latency-sketches")
+    sketches.add_quantile_days(roles.ops_events(spark, sf), path, ["source"], "latency", "ts")
+    return sketches.quantiles_from(spark.read.parquet(path), ["source"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
 # ---- ops and streams -----------------------------------------------------------------------
 
 def throughput(spark, sf):
@@ -619,6 +651,7 @@ QUERIES = {f.__name__: f for f in [
     role_requirements, skill_gap, skill_lift, tailored, letters, current_status, status_timeline, bad_transitions,
     due_reminders, reminder_stream, pipeline_counts, stage_durations,
     comp_by_role, comp_by_role_location, comp_cube, comp_trend, skill_demand, skill_trend, role_pay_now, top_skills,
+    comp_by_role_sketch, comp_trend_sketch, skill_trend_sketch, latency_sketch,
     throughput, throughput_stream, latency, hit_rate, queue_depth, dedupe_stream, seen_stream,
 ]}
 

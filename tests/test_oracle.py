@@ -8,7 +8,7 @@ from hirelake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 # Approximate or model-based: no SQL twin.
-NO_TWIN = {"match_ann", "near_dup_minhash"}
+NO_TWIN = {"match_ann", "near_dup_minhash", "comp_by_role_sketch", "comp_trend_sketch", "skill_trend_sketch", "latency_sketch"}
 
 
 @pytest.fixture(scope="module")

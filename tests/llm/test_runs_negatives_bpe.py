@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hirelake.llm import bpe, negatives, queries, runs
+from hirelake.llm import bpe, nearest, negatives, queries, runs
 from hirelake.llm.words import ready
 
 SF = "/root/testdata/sf0.001"
@@ -250,3 +250,29 @@ def test_bpe_of_odd_rows(spark, odd, public):
     assert bpe.decode(bpe.encode(odd.limit(0))).count() == 0
     strange = spark.createDataFrame([(1, None), (2, [None, 50256, 99999, -1]), (3, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in bpe.decode(strange).collect()} == {1: "", 2: "<|endoftext|>", 3: ""}
+
+
+# ---- 3: nearest neighbours on mixed norms ------------------------------------------------------
+
+@pytest.mark.parametrize("kind", ["outlier", "lognormal", "few"])
+def test_neighbours_are_found_on_mixed_norms(spark, kind):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if kind == "outlier":
+        v[7] *= 4
+        v[9, 0] = 1e200
+    elif kind == "lognormal":
+        v *= rng.lognormal(0, 0.5, (4000, 1))
+    else:
+        v[rng.random(4000) < 0.02] *= 6
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    got = {}
+    for r in nearest.nearest(df, df.where("id % 40 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for q in range(0, 4000, 40):
+        scores = (v * v[q]).sum(1)
+        scores[q] = -np.inf
+        recall.append(len(got[q] & set(np.lexsort((np.arange(4000), -scores))[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9 and min(recall) >= 0.5

@@ -52,8 +52,9 @@ def matrix(column: pa.Array) -> np.ndarray:
 def norm_of(vector: str) -> Column:
     """Euclidean norm, by the largest component first, so that no square overflows."""
     largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
-    return largest * F.sqrt(F.aggregate(
-        F.transform(vector, lambda x: F.pow(x.cast("double") / largest, F.lit(2.0))), F.lit(0.0), lambda total, x: total + x))
+    # The array binds the largest component, so it is found once and not for every component.
+    return F.transform(F.array(largest), lambda m: m * F.sqrt(F.aggregate(
+        vector, F.lit(0.0), lambda total, x: total + (x.cast("double") / m) * (x.cast("double") / m))))[0]
 
 
 def directions(vectors: np.ndarray) -> np.ndarray:

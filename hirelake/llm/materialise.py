@@ -3,10 +3,11 @@
 Every document's ids and an end id are packed one after the other into sequences of
 ``LENGTH`` ids, by each task for the rows that it reads; only a task's last sequence is
 filled up, with end ids. A keyed Feistel permutation with cycle walking gives every
-sequence a global slot. Slots are range-partitioned into shards, and a shard is a file of
+sequence a global slot. Ranges of slots are the shards, each the work of one task and a file of
 equal strides, so slot ``s`` is ``LENGTH`` ids at a place that can be computed, and reading
 can resume anywhere. A file is written under a task's own name and then renamed, so a task
-that runs again leaves the same file.
+that runs again leaves the same file. The order hangs on how Spark cuts the table into
+tasks: the same files read with the same ``spark.sql.files`` settings give the same order.
 
 Null and empty texts are an end id alone. Repeated rows are documents like others. An
 empty table writes no file. Columns other than the text are not read.
@@ -130,9 +131,9 @@ def write_shards(docs: DataFrame, path: str, seed: int = 20_240_101, vocabulary:
                 ["slot", "shard", "offset", "n_tokens", "n_docs", "crc32"])
         close()
 
-    # All of a shard in one task and in order of its slots: a range never parts equal keys.
+    # A shard numbers its own task, so nothing is sampled to find ranges and the bodies are pressed once.
     many = max(1, -(-sequences.count() // per_shard))
-    return lean.repartitionByRange(many, "shard").sortWithinPartitions("slot").mapInArrow(
+    return lean.repartitionById(many, "shard").sortWithinPartitions("slot").mapInArrow(
         run, "slot long, shard int, offset long, n_tokens int, n_docs int, crc32 long")
 
 

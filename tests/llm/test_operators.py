@@ -387,6 +387,12 @@ def test_subwords_equal_the_encoder(spark):
         "a  b\n\n c\t\td ", " x y  ", "it's  we'll\x1cgo\x85on", "\n \n", "tab\t x", "　wide  　", "", None]
     for text in texts:
         assert s.encode(text).tolist() == (s.one(text) if text else [])
+    # Long runs of white space are cut out; short ones of the same kind show what is right.
+    for make in (lambda n: "a" + " " * n + "b", lambda n: " " * n, lambda n: " \n" * n + "\x1cb", lambda n: "a" + "\t" * n,
+                 lambda n: " " * n + "日" + "\u3000" * n + " 7"):
+        for n in (9_999, 10_000, 10_001, 20_000):
+            assert s.encode(make(n)).tolist() == s.one(make(n))
+        assert s.encoder.decode(s.encode(make(1_000_000)).tolist()) == make(1_000_000)
 
 
 def test_shards_hold_every_text_and_resume(spark, odd, empty):

@@ -5,13 +5,15 @@ Times come out as text and arrays as joined text, so that two engines can be com
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, functions as F
 
 from hirelake.functions import text as tx
 from hirelake.operators import cells, copilot, dedupe, embed, freshness, market, match, normalize, ops, sketches, skills
 from hirelake.plans import roles
 from hirelake.session import fresh_dir, materialize, spread, tune
-from hirelake.sources import adapters, stores
+from hirelake.sources import adapters, paged, stores
 from hirelake.streaming import flows
 
 DOC_MODEL = embed.HashingEmbedding(256)
@@ -54,6 +56,26 @@ def source_paced(spark, sf):
     return _raw_view(spark.read.format(name).option("rows_per_page", 20_000).option("max_rps", 200).load())
 
 
+def _board(spark, sf) -> str:
+    path = fresh_dir(spark, "board")
+    paged.write_pages(roles.raw_postings(spark, sf), path, rows_per_page=500)
+    return path
+
+
+def source_paged(spark, sf):
+    """A paged board read in ranges of pages by readers that share one rate."""
+    name = paged.register_board(spark, "paged_json", paged.JsonPages(_board(spark, sf)))
+    return _raw_view(spark.read.format(name).option("pages_per_task", 8).option("max_rps", 4_000).load())
+
+
+def source_filtered(spark, sf):
+    """A filter that reaches the board: other sections and earlier pages are not fetched."""
+    name = paged.register_board(spark, "filtered_json", paged.JsonPages(_board(spark, sf)))
+    kept = spark.read.format(name).load().where(
+        F.col("source").isin("1", "3", "5") & (F.col("fetched_at") >= F.lit(datetime(1998, 1, 1)).cast("timestamp_ntz")))
+    return _raw_view(kept)
+
+
 def source_incremental(spark, sf):
     """Two pulls; what lands between them has the smaller folder name."""
     landed, path, checkpoint = (fresh_dir(spark, x) for x in ("landed", "ingested", "ingest-checkpoint"))
@@ -637,8 +659,15 @@ def seen_stream(spark, sf):
     return _text(flows.latest_versions(updates), "first_seen", "last_seen")
 
 
+def seen_bounded(spark, sf):
+    schema = roles.table(spark, sf, "lineitem").schema
+    rows = flows.file_stream(spark, sf, schema, name_glob="lineitem.parquet")
+    spells = flows.drain(flows.seen_spells(roles.as_observations(rows), 180, "1 day"), "spells", "update")
+    return _text(flows.seen_of_spells(spells), "first_seen", "last_seen")
+
+
 QUERIES = {f.__name__: f for f in [
-    source_batch, source_paced, source_incremental, union_sources, map_payload, map_event_payload, raw_store,
+    source_batch, source_paced, source_paged, source_filtered, source_incremental, union_sources, map_payload, map_event_payload, raw_store,
     normalized_store, embedding_store, profile_files, html_pages,
     normalized, canonical_url, posting_key, norm_title, norm_company, parse_comp, norm_location, seniority,
     extract_skills, keywords, filtered, job_detail,
@@ -652,7 +681,7 @@ QUERIES = {f.__name__: f for f in [
     due_reminders, reminder_stream, pipeline_counts, stage_durations,
     comp_by_role, comp_by_role_location, comp_cube, comp_trend, skill_demand, skill_trend, role_pay_now, top_skills,
     comp_by_role_sketch, comp_trend_sketch, skill_trend_sketch, latency_sketch,
-    throughput, throughput_stream, latency, hit_rate, queue_depth, dedupe_stream, seen_stream,
+    throughput, throughput_stream, latency, hit_rate, queue_depth, dedupe_stream, seen_stream, seen_bounded,
 ]}
 
 

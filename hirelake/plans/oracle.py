@@ -246,6 +246,8 @@ _NEXT = ("lead(at_) OVER (PARTITION BY profile_id, job_id ORDER BY at_, event_id
 SQL: dict[str, str] = {
     "source_batch": _RAWVIEW,
     "source_paced": _RAWVIEW,
+    "source_paged": _RAWVIEW,
+    "source_filtered": _RAWVIEW + " WHERE source IN ('1', '3', '5') AND raw.fetched_at >= TIMESTAMP '1998-01-01'",
     "source_incremental": _RAWVIEW,
     "union_sources": """SELECT source, CAST(doc_id AS VARCHAR) AS external_id, lang, CAST(NULL AS VARCHAR) AS url
       FROM documents UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), NULL, url FROM pages""",
@@ -466,4 +468,4 @@ SQL: dict[str, str] = {
     "dedupe_stream": "SELECT DISTINCT user_id, event_type FROM events",
 }
 _SEEN_SQL = f"WITH {SEEN} SELECT posting_id, {_ts('first_seen')} AS first_seen, {_ts('last_seen')} AS last_seen, n_seen FROM seen"
-SQL.update({name: _SEEN_SQL for name in ("seen", "seen_update", "seen_stream")})
+SQL.update({name: _SEEN_SQL for name in ("seen", "seen_update", "seen_stream", "seen_bounded")})

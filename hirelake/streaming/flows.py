@@ -89,6 +89,76 @@ def latest_versions(updates: DataFrame, key: str = "posting_id", version: str =
     return updates.groupBy(key).agg(newest).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+class _Sightings(StatefulProcessor):
+    """Sightings of one key since it came up, forgotten when it has not been seen for a while."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spell = handle.getValueState("spell", "opened bigint, first bigint, last bigint, n bigint")
+
+    def _row(self, key, opened: int, first: int, last: int, n: int, ended: bool) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "opened": [opened], "first_us": [first], "last_us": [last],
+                             "n_seen": [n], "ended": [ended]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = tuple(self.spell.get()) if self.spell.exists() else None
+        first, last, n = known[1:] if known else (None, None, 0)
+        for frame in rows:
+            low, high = int(frame["at_us"].min()), int(frame["at_us"].max())
+            first = low if first is None else min(first, low)
+            last = high if last is None else max(last, high)
+            n += len(frame)
+        if known is None or last != known[2]:
+            for due in list(self.handle.listTimers()) if known else ():
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(last // 1000 + self.idle_ms)
+        now = (known[0] if known else first, first, last, n)
+        self.spell.update(now)
+        yield self._row(key, *now, ended=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.spell.exists():
+            yield self._row(key, *self.spell.get(), ended=True)
+            self.spell.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def seen_spells(df: DataFrame, idle_days: float, lateness: str, key: str = "posting_id",
+                at: str = "seen_at") -> DataFrame:
+    """First and last sighting as state that ends: a key not seen for ``idle_days`` is given out as
+    ``ended`` and forgotten, and opens a new spell if it comes back. So the state holds the
+    keys in sight, not all that ever were. Run in update mode; every batch gives the spells
+    it touched so far. Sightings without a time are left out."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = (
+        event_time(df.where(F.col(at).isNotNull()), at).withWatermark(at, lateness)
+        .select(F.col(key).alias("key"), at, F.unix_micros(at).alias("at_us"))
+    )
+    kind = df.schema[key].dataType.simpleString()
+    spells = timed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Sightings(int(idle_days * 86_400_000)),
+        outputStructType=f"key {kind}, opened bigint, first_us bigint, last_us bigint, n_seen bigint, ended boolean",
+        outputMode="update", timeMode="EventTime",
+    )
+    wall = lambda c: F.timestamp_micros(c).cast(df.schema[at].dataType)
+    return spells.select(F.col("key").alias(key), "opened", wall("first_us").alias("first_seen"),
+                         wall("last_us").alias("last_seen"), "n_seen", "ended")
+
+
+def seen_of_spells(spells: DataFrame, key: str = "posting_id") -> DataFrame:
+    """The snapshot from a log of spells: the newest row of each spell, spells of a key merged. How
+    often a key ended depends on the batches; the snapshot does not."""
+    newest = spells.groupBy(key, "opened").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+                                               F.max("n_seen").alias("n_seen"))
+    return newest.groupBy(key).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+                                   F.sum("n_seen").alias("n_seen"))
+
+
 def throughput_stream(events: DataFrame, width: str, lateness: str) -> DataFrame:
     """Events per window and source: closed windows in append mode, and in update mode also
     the counts so far of open ones."""

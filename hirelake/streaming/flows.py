@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -89,6 +89,10 @@ def latest_versions(updates: DataFrame, key: str = "posting_id", version: str =
     return updates.groupBy(key).agg(newest).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def _spell(key, opened: int, first: int, last: int, n: int, ended: bool) -> Row:
+    return Row(key=key, opened=opened, first_us=first, last_us=last, n_seen=n, ended=ended)
+
+
 class _Sightings(StatefulProcessor):
     """Sightings of one key since it came up, forgotten when it has not been seen for a while."""
 
@@ -99,29 +103,22 @@ class _Sightings(StatefulProcessor):
         self.handle = handle
         self.spell = handle.getValueState("spell", "opened bigint, first bigint, last bigint, n bigint")
 
-    def _row(self, key, opened: int, first: int, last: int, n: int, ended: bool) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "opened": [opened], "first_us": [first], "last_us": [last],
-                             "n_seen": [n], "ended": [ended]})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = tuple(self.spell.get()) if self.spell.exists() else None
-        first, last, n = known[1:] if known else (None, None, 0)
-        for frame in rows:
-            low, high = int(frame["at_us"].min()), int(frame["at_us"].max())
-            first = low if first is None else min(first, low)
-            last = high if last is None else max(last, high)
-            n += len(frame)
-        if known is None or last != known[2]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.spell.get()
+        at = [r.at_us for r in rows]
+        opened, first, last, n = known or (min(at), min(at), None, 0)
+        now = (opened, min(first, min(at)), max(at) if last is None else max(last, max(at)), n + len(at))
+        if now[2] != last:
             for due in list(self.handle.listTimers()) if known else ():
                 self.handle.deleteTimer(due)
-            self.handle.registerTimer(last // 1000 + self.idle_ms)
-        now = (known[0] if known else first, first, last, n)
+            self.handle.registerTimer(now[2] // 1000 + self.idle_ms)
         self.spell.update(now)
-        yield self._row(key, *now, ended=False)
+        yield _spell(key[0], *now, ended=False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.spell.exists():
-            yield self._row(key, *self.spell.get(), ended=True)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.spell.get()
+        if known:
+            yield _spell(key[0], *known, ended=True)
             self.spell.clear()
 
     def close(self) -> None:
@@ -140,7 +137,7 @@ def seen_spells(df: DataFrame, idle_days: float, lateness: str, key: str = "post
         .select(F.col(key).alias("key"), at, F.unix_micros(at).alias("at_us"))
     )
     kind = df.schema[key].dataType.simpleString()
-    spells = timed.groupBy("key").transformWithStateInPandas(
+    spells = timed.groupBy("key").transformWithState(
         statefulProcessor=_Sightings(int(idle_days * 86_400_000)),
         outputStructType=f"key {kind}, opened bigint, first_us bigint, last_us bigint, n_seen bigint, ended boolean",
         outputMode="update", timeMode="EventTime",

@@ -6,6 +6,8 @@ interpreted inside the generated code; the others are compiled.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Abbreviations written out in titles.
@@ -50,12 +52,23 @@ NOT_ALNUM = r"[^\p{L}\p{N}+#]+"
 URL_HEAD = r"^(?:\s|[a-z][a-z0-9+.-]*://)+"
 URL_SITE = r"^(?:(?:www|m)\.)+([^/?#:\s]*\.)"  # only where a domain with a dot remains
 URL_TAIL = r"(?:\s|/|\.html?)+$"
-AMOUNT = r"[0-9]+(?:[.,][0-9]+)*(?: *k\b)?"
+AMOUNT = r"[0-9]+(?:[.,][0-9]+)*(?:m\b| *(?:k|mn|mio|millions?)\b)?"
 CURRENCY = r"(?:[$€£]|\b(?:usd|eur|gbp|chf)\b)"
 _RANGE = rf"{AMOUNT}(?: *(?:-|–|—|to) *{CURRENCY}? *{AMOUNT})?"
-# Amounts beside a currency, or in thousands; other numbers of such a text are not pay.
-PAY = rf"{CURRENCY} *{_RANGE}|{_RANGE} *{CURRENCY}|{AMOUNT} *(?:-|–|—|to) *[0-9]+(?:[.,][0-9]+)* *k\b|[0-9]+(?:[.,][0-9]+)* *k\b"
+_SCALED = r"[0-9]+(?:[.,][0-9]+)* *(?:k|mn|mio|millions?)\b"
+# Amounts beside a currency, in thousands or in millions; other numbers of such a text are not pay.
+# A bare "m" is no million: it may be a length or a month.
+PAY = rf"{CURRENCY} *{_RANGE}|{_RANGE} *{CURRENCY}|{AMOUNT} *(?:-|–|—|to) *{_SCALED}|{_SCALED}"
 THOUSANDS = r"[0-9] *k\b"
+MILLIONS = r"[0-9](?:m| *(?:mn|mio|millions?))\b"
+# What becomes of "401k", first to last: the savings plan goes, pay beside a currency or in a range
+# is written so that the last rule leaves it, and what is left is the plan.
+PLAN_RULES = (
+    (r"\b401 *(?:\(k\)|k *(?:match|plan|contribution|retirement|benefit|saving))", " ", ""),
+    (rf"([0-9k] *(?:to|-|–|—) *|{CURRENCY} *)401 *k\b", "", " 401.0k"),
+    (rf"\b401 *k( *(?:(?:-|–|—|to) *{CURRENCY}? *[0-9]|[€£]|(?:usd|eur|gbp|chf)\b))", "401.0k ", ""),
+    (r"\b401 *k\b", " ", ""),
+)
 
 
 def paid_per(unit: str) -> str:
@@ -119,19 +132,29 @@ def _let(value: Column, body) -> Column:
 def parse_comp(c) -> Column:
     """Yearly ``struct<min, max>`` from free text; nulls when it holds no amount.
 
-    Amounts beside a currency or in thousands count; only a text without any is read for
-    bare numbers. A point or comma before three digits groups thousands.
+    Amounts beside a currency, in thousands or in millions count; only a text without any is
+    read for bare numbers. A point or comma before three digits groups thousands. "401k" is
+    a savings plan unless a currency or a range makes it pay.
     """
 
+    def without_plans(text: Column) -> Column:
+        out = text
+        for pattern, before, after in PLAN_RULES:
+            group = "$1" if re.compile(pattern).groups else ""
+            out = F.regexp_replace(out, pattern, before + group + after)
+        return F.when(text.contains("401"), out).otherwise(text)
+
     def amounts(text: Column) -> Column:
-        def amount(found: Column, in_thousands: Column) -> Column:
+        def amount(found: Column, pay: Column) -> Column:
             whole = F.regexp_replace(F.regexp_replace(found, r"[.,]([0-9]{3})\b", "$1"), ",", ".")
             value = F.regexp_replace(whole, "[^0-9.]", "").try_cast("double")
-            return F.when(in_thousands & (value < 1000), value * 1000.0).otherwise(value)
+            return _let(value, lambda v: F.when(v >= 1000, v).when(found.contains("m"), v * 1_000_000.0)
+                        .when(pay["k"], v * 1000.0).when(pay["m"], v * 1_000_000.0).otherwise(v))
 
         def found(pay: Column) -> Column:
             each = F.regexp_extract_all(pay, F.lit(AMOUNT), F.lit(0))
-            return _let(pay.rlike(THOUSANDS), lambda k: F.transform(each, lambda x: amount(x, k)))
+            scale = F.struct(pay.rlike(THOUSANDS).alias("k"), pay.rlike(MILLIONS).alias("m"))
+            return _let(scale, lambda k: F.transform(each, lambda x: amount(x, k)))
 
         marked = F.array_join(F.regexp_extract_all(text, F.lit(PAY), F.lit(0)), " ; ")
         return _let(F.when(marked != "", marked).otherwise(text), found)
@@ -143,7 +166,7 @@ def parse_comp(c) -> Column:
         return _let(amounts(text), lambda a: F.struct(
             (F.array_min(a) * factor).alias("min"), (F.array_max(a) * factor).alias("max")))
 
-    return _let(F.lower(_column(c)), spread)
+    return _let(F.lower(_column(c)), lambda text: _let(without_plans(text), spread))
 
 
 def seniority(title_norm) -> Column:

@@ -367,6 +367,15 @@ def openings_by_day(spark, sf):
     return days.select("role", F.col("day").cast("string").alias("day"), "open_postings")
 
 
+def openings_at(spark, sf):
+    """For every part a day and the first two words of its name: postings open then that ask for both."""
+    wanted = roles.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("wanted_id"), F.slice(F.split("p_name", " "), 1, 2).alias("skills"),
+        F.date_add(F.lit("1992-01-01").cast("date"), (F.col("p_partkey") % 2500).cast("int")).alias("day"))
+    found = freshness.openings_at(roles.postings(spark, sf).select("posting_id", "skills", "first_seen", "last_seen"), wanted)
+    return found.groupBy("wanted_id").agg(F.count(F.lit(1)).alias("n_open"), F.min("posting_id").alias("posting_id"))
+
+
 def replayed(spark, sf):
     schema = roles.table(spark, sf, "events").schema
     stream = flows.replay(spark, sf, schema, name_glob="events.parquet")
@@ -674,7 +683,7 @@ QUERIES = {f.__name__: f for f in [
     dedupe_external_id, dedupe_url, dedupe_title_company, dedupe_cascade, dedupe_semantic, dedupe_similar, near_dup_text,
     near_dup_minhash,
     resolve_clusters, merged_jobs, job_provenance,
-    seen, seen_update, added_last_day, stale_postings, current_openings, jobs_added_last_day, job_openings, openings_by_day, replayed,
+    seen, seen_update, added_last_day, stale_postings, current_openings, jobs_added_last_day, job_openings, openings_by_day, openings_at, replayed,
     embedded, same_model, pending_embeddings, embedded_profiles, match_exact, match_ann, match_filtered, match_all,
     search_text, explained, phrased, generated, match_feed,
     role_requirements, skill_gap, skill_lift, tailored, letters, current_status, status_timeline, bad_transitions,

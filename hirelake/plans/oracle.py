@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from hirelake.functions.text import (
-    AMOUNT, ENTITIES, LEGAL_SUFFIXES, PAY, THOUSANDS, TITLE_ABBREVIATIONS, TRACKING, UNITS_PER_YEAR, paid_per)
+    AMOUNT, ENTITIES, LEGAL_SUFFIXES, MILLIONS, PAY, PLAN_RULES, THOUSANDS, TITLE_ABBREVIATIONS, TRACKING, UNITS_PER_YEAR, paid_per)
 from hirelake.operators.copilot import ALLOWED_MOVES, STATUSES
 from hirelake.plans.roles import COMPANY_STYLE, STATUS_OF_EVENT
 
@@ -52,14 +54,20 @@ def _level(c: str) -> str:
 
 
 def _comp(c: str, pick: str) -> str:
-    t = f"lower({c})"
+    low = t = f"lower({c})"
+    for pattern, before, after in PLAN_RULES:
+        group = "\\1" if re.compile(pattern).groups else ""
+        t = f"regexp_replace({t}, {_str(pattern)}, '{before}{group}{after}', 'g')"
+    t = f"CASE WHEN contains({low}, '401') THEN {t} ELSE {low} END"
     marked = f"regexp_extract_all({t}, {_str(PAY)})"
     pay = f"CASE WHEN len({marked}) > 0 THEN array_to_string({marked}, ' ; ') ELSE {t} END"
     units = " ".join(f"WHEN regexp_matches({t}, {_str(paid_per(u))}) THEN {n}.0" for u, n in UNITS_PER_YEAR.items())
     whole = "replace(regexp_replace(x, '[.,]([0-9]{3})\\b', '\\1', 'g'), ',', '.')"
     value = f"TRY_CAST(regexp_replace({whole}, '[^0-9.]', '', 'g') AS DOUBLE)"
-    amounts = (f"list_transform(regexp_extract_all({pay}, {_str(AMOUNT)}), lambda x: CASE WHEN "
-               f"regexp_matches({pay}, {_str(THOUSANDS)}) AND {value} < 1000 THEN {value} * 1000.0 ELSE {value} END)")
+    amounts = (f"list_transform(regexp_extract_all({pay}, {_str(AMOUNT)}), lambda x: CASE "
+               f"WHEN {value} >= 1000 THEN {value} WHEN contains(x, 'm') THEN {value} * 1000000.0 "
+               f"WHEN regexp_matches({pay}, {_str(THOUSANDS)}) THEN {value} * 1000.0 "
+               f"WHEN regexp_matches({pay}, {_str(MILLIONS)}) THEN {value} * 1000000.0 ELSE {value} END)")
     return f"({pick}({amounts}) * (CASE {units} ELSE 1.0 END::DOUBLE))"
 
 
@@ -339,6 +347,11 @@ SQL: dict[str, str] = {
     "job_openings": f"""WITH {JOBS}, now AS (SELECT max(l_shipdate) AS as_of FROM lineitem)
       SELECT job_id, {_ts('last_seen')} AS last_seen, n_postings FROM jobs, now
       WHERE last_seen >= as_of - INTERVAL 90 DAY""",
+    "openings_at": f"""WITH {POST}, w AS (SELECT p_partkey AS wanted_id, string_split(p_name, ' ')[1:2] AS wished,
+      DATE '1992-01-01' + CAST(p_partkey % 2500 AS INTEGER) AS day FROM part),
+      s AS (SELECT DISTINCT posting_id, unnest(skills) AS skill, skills, CAST(first_seen AS DATE) AS a, CAST(last_seen AS DATE) AS b FROM post)
+      SELECT wanted_id, count(*) AS n_open, min(posting_id) AS posting_id FROM w JOIN s ON skill = wished[1]
+      AND day BETWEEN a AND b AND list_has_all(skills, wished) GROUP BY 1""",
     "openings_by_day": f"""WITH {POST}, span AS (SELECT role, min(CAST(first_seen AS DATE)) AS a,
         max(CAST(last_seen AS DATE)) AS z FROM post GROUP BY 1),
       days AS (SELECT role, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY))

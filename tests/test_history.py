@@ -179,3 +179,37 @@ def test_skills_by_alias(spark):
     assert got == {1: ["SQL", "Spark"], 4: ["Spark"]}
     top = skills.keywords(docs, 1).where(F.col("posting_id") == 4).first()
     assert (top.term, top.tf) == ("spark", 2)
+
+
+def test_blocks_of_spans_and_points_meet_once(spark):
+    from hirelake.plans.ranges import blocks_of_point, blocks_of_span
+    rng = random.Random(5)
+    ends = [0, 1, 2, 3, 7, 8, -1, -8, 2 ** 15, 2 ** 16 + 1, 3 * 2 ** 15 - 1, -2 ** 15 - 5]
+    spans = [(a, b) for a in ends for b in ends] + [(a, a + rng.randrange(400)) for a in rng.sample(range(-500, 500), 60)]
+    at = sorted({x + d for x in ends for d in (-1, 0, 1)} | set(rng.sample(range(-600, 900), 60)))
+    left = spark.createDataFrame([(i, *s) for i, s in enumerate(spans + [(None, 3), (3, None)])], "i int, a int, b int")
+    right = spark.createDataFrame([(x,) for x in at] + [(None,)], "x int")
+    cut = left.select("i", F.inline(blocks_of_span(F.col("a"), F.col("b"))))
+    met = cut.join(right.select("x", F.inline(blocks_of_point(F.col("x")))), ["level", "cell"]).select("i", "x").collect()
+    assert sorted(map(tuple, met)) == [(i, x) for i, (a, b) in enumerate(spans) for x in at if a <= x < b]
+    assert cut.groupBy("i").count().agg(F.max("count")).first()[0] <= 32
+
+
+def test_openings_at_equal_brute_force(spark):
+    rng, day = random.Random(6), datetime(2024, 1, 1)
+    jobs = []
+    for i in range(300):
+        a = day + timedelta(hours=rng.randrange(2400))
+        skills = rng.sample("abcdefg", rng.randrange(4)) + ["hot"] * (i % 2) + [None] * (i % 7 == 0)
+        jobs.append((f"p{i}", skills, a, a + timedelta(hours=rng.randrange(900))))
+    jobs += [("n1", None, day, day), ("n2", ["a"], None, day), ("n3", ["a"], day, None)]
+    wanted = [(i, rng.sample("abcdefg", rng.randrange(3)) + ["hot"] * (i % 3 == 0),
+               (day + timedelta(days=rng.randrange(-5, 140))).date()) for i in range(120)]
+    wanted += [(500, ["nobody", "hot"], day.date()), (501, None, day.date()), (502, ["a"], None), (503, ["hot", "hot", None], day.date())]
+    got = freshness.openings_at(
+        spark.createDataFrame(jobs, "posting_id string, skills array<string>, first_seen timestamp_ntz, last_seen timestamp_ntz"),
+        spark.createDataFrame(wanted, "wanted_id int, skills array<string>, day date")).collect()
+    want = [(w, p) for w, wished, at in wanted for p, skills, a, b in jobs
+            if at and a and b and a.date() <= at <= b.date() and {x for x in wished or () if x}
+            and {x for x in wished if x} <= set(skills or ())]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100

@@ -44,6 +44,12 @@ def test_titles_and_companies(spark):
     ("$120k plus 5 weeks vacation", 120_000.0, 120_000.0), ("$30/hour, 40 hours", 62_400.0, 62_400.0),
     ("45,50 € / hr", 94_640.0, 94_640.0), ("$100k, 4 days a week", 100_000.0, 100_000.0),
     ("monthly salary: €5.000 to €6.000", 60_000.0, 72_000.0),
+    ("up to $1.5m", 1_500_000.0, 1_500_000.0), ("$1.2-1.5m", 1_200_000.0, 1_500_000.0),
+    ("$900k - $1.1m", 900_000.0, 1_100_000.0), ("2 million USD", 2_000_000.0, 2_000_000.0),
+    ("1.2 to 1.5 million", 1_200_000.0, 1_500_000.0), ("$80,000, desk 2m wide", 80_000.0, 80_000.0),
+    ("401k match, $90,000", 90_000.0, 90_000.0), ("$90k plus 401(k)", 90_000.0, 90_000.0), ("401k", None, None),
+    ("$401k", 401_000.0, 401_000.0), ("350k to 401k", 350_000.0, 401_000.0), ("401k - 450k", 401_000.0, 450_000.0),
+    ("$100k - 401k match", 100_000.0, 100_000.0), ("401k EUR", 401_000.0, 401_000.0),
 ])
 def test_comp(spark, text, low, high):
     assert values(spark, [text], tx.parse_comp) == [(low, high)]

@@ -170,6 +170,19 @@ def pending_embeddings(posts: DataFrame, store: DataFrame, model_id: str,
     return wanted.join(have, [row_id, "model_id", "text_hash"], "left_anti")
 
 
+def current_embeddings(posts: DataFrame, store: DataFrame, model_id: str,
+                       text: str = "description", row_id: str = "posting_id") -> DataFrame:
+    """``row_id, model_id, text_hash, embedding``: of an append-only store, the vector of each posting's
+    present text by one model, once however often it was appended. Postings that are still
+    pending have none. Only the model's folder is read, and ids travel with a hash, not texts."""
+    wanted = posts.select(row_id, text_hash(text).alias("text_hash"))
+    have = store.where(F.col("model_id") == model_id).select(row_id, "text_hash", "embedding")
+    return (
+        have.join(wanted, [row_id, "text_hash"], "left_semi").dropDuplicates([row_id, "text_hash"])
+        .select(row_id, F.lit(model_id).alias("model_id"), "text_hash", "embedding")
+    )
+
+
 class TemplateProvider:
     """Offline default: completes a prompt by fixed rules, without a model."""
 

@@ -404,6 +404,20 @@ def embedded(spark, sf):
     return embed.embed(docs, _doc_model(docs)).select("posting_id", "model_id", "text_hash", _shown("embedding").alias("vector"))
 
 
+def current_embeddings(spark, sf):
+    """A store that grew: all texts, half of them as they were before, then whatever is pending, and
+    some of that twice."""
+    path, docs = fresh_dir(spark, "vectors"), roles.documents(spark, sf).select("posting_id", "description")
+    model, odd = _doc_model(docs), F.col("posting_id") % 2 == 1
+    before = docs.withColumn("description", F.when(odd, F.concat("description", F.lit(" as before"))).otherwise(F.col("description")))
+    stores.write_embeddings(embed.embed(before, model).drop("description"), path)
+    pending = embed.pending_embeddings(docs, spark.read.parquet(path), model.model_id)
+    again = docs.join(pending.select("posting_id"), "posting_id", "left_semi").unionByName(docs.where("posting_id % 10 = 1"))
+    stores.write_embeddings(embed.embed(again, model).drop("description"), path)
+    return embed.current_embeddings(docs, spark.read.parquet(path), model.model_id).withColumn(
+        "vector", _shown("embedding")).drop("embedding")
+
+
 def same_model(spark, sf):
     docs = roles.documents(spark, sf)
     model = _doc_model(docs)
@@ -684,7 +698,7 @@ QUERIES = {f.__name__: f for f in [
     near_dup_minhash,
     resolve_clusters, merged_jobs, job_provenance,
     seen, seen_update, added_last_day, stale_postings, current_openings, jobs_added_last_day, job_openings, openings_by_day, openings_at, replayed,
-    embedded, same_model, pending_embeddings, embedded_profiles, match_exact, match_ann, match_filtered, match_all,
+    embedded, current_embeddings, same_model, pending_embeddings, embedded_profiles, match_exact, match_ann, match_filtered, match_all,
     search_text, explained, phrased, generated, match_feed,
     role_requirements, skill_gap, skill_lift, tailored, letters, current_status, status_timeline, bad_transitions,
     due_reminders, reminder_stream, pipeline_counts, stage_durations,

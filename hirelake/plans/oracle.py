@@ -482,3 +482,4 @@ SQL: dict[str, str] = {
 }
 _SEEN_SQL = f"WITH {SEEN} SELECT posting_id, {_ts('first_seen')} AS first_seen, {_ts('last_seen')} AS last_seen, n_seen FROM seen"
 SQL.update({name: _SEEN_SQL for name in ("seen", "seen_update", "seen_stream", "seen_bounded")})
+SQL["current_embeddings"] = SQL["embedded"]

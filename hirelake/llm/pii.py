@@ -2,14 +2,19 @@
 
 Plain identifiers are found first. Then small transducers rewrite the text and remember
 which source characters each new character stands for: invisible characters go, look-alike
-letters become ASCII, spelled digits become digits, and ``at`` and ``dot`` written as words
-or in brackets become signs. A spelled digit counts where it stands beside another one, a
+letters, other scripts' digits and character references become ASCII, spelled numbers below a
+hundred and ``double`` or ``triple`` digits become digits, and ``at`` and ``dot`` written as
+words, in brackets or between hyphens or underscores become signs. A spelled digit counts where
+it stands beside another one, a
 written digit or a dot; whether prose or a number is meant there, the text does not tell, so
 it has several readings (only runs of three or more; all of them; all of them, joined to the
 written digits beside them). What the same detectors find in any reading is mapped back to
 source characters; it is added if its source differs from what was found. Plain spans always
 stay.
 
+An ``at`` without brackets is a sign before a name with a disguised dot, or before a plain name
+with a known ending, if what stands before it is not a word that prose puts there.
+
 A null text counts as empty and has no spans. Ties in a start are ordered by kind, then by
 end. Repeated rows and null ids are rows like others; other columns are not read. Texts
 without a trace of a disguise skip the transducers, which does not change their result.
@@ -37,14 +42,36 @@ DIGIT = re.compile(r"[0-9]")
 # Letters of other scripts that look like ASCII ones, pair by pair.
 LOOK_ALIKES = dict(zip(
     "АВЕЅІЈКМНОРСТУХаеѕіјкорсухԁԛԝһ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορικ",
-    "ABESIJKMHOPCTYXaesijkopcyxdqwh" "ABEZHIKMNOPTYXavopik"))
+    "ABESIJKMHOPCTYXaesijkopcyxdqwh" "ABEZHIKMNOPTYXavopik")) | dict.fromkeys("‐‑‒–—−", "-")
 INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 # Digits as words.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
            "seven": "7", "eight": "8", "nine": "9"}
-
-_STRANGE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff\u0370-\u052f\uff01-\uff5e\U0001d400-\U0001d7ff]")
-_WORD = "(?:" + "|".join(SPELLED) + ")"
+TEENS = {"ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15",
+         "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19"}
+TENS = {"twenty": "2", "thirty": "3", "forty": "4", "fifty": "5", "sixty": "6", "seventy": "7", "eighty": "8", "ninety": "9"}
+TIMES = {"double": 2, "triple": 3}
+# Endings of names, and words that stand before a plain "at" in prose.
+ENDINGS = frozenset(
+    "com org net edu gov mil int info biz io co ai app dev me tv uk de fr it es pt nl eu ch at be se no fi dk pl cz ie ru ua "
+    "jp cn kr in br us ca au nz mx za example test".split())
+NOT_NAMES = frozenset(
+    "a about all also am and answers app are arrive arrived article as at available based be been blog bought but buy call "
+    "came check code come contact details docs email event everyone find follow for found from go guide had has have he help "
+    "held her here him hosted i in information is it items job join learn learned listed live located login look looked "
+    "looking me meet meeting met more not now of on one online open or order out page people photos play posted published "
+    "read register released reservations s see seen she shop sign site sold start store stories study talk team that the "
+    "them then there they this those tickets time to today up us user version video visit was we website were what work "
+    "worked working works write writes you your".split())
+
+_STRANGE = re.compile(
+    "[\u00a0\u00ad\u0370-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2000-\u200d\u2010-\u2014\u2024\u202f"
+    "\u2060\u2212\u24b6-\u24e9\ufe52\ufe6b\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
+_NAMED = {"commat": "@", "period": ".", "plus": "+", "lowbar": "_", "hyphen": "-", "nbsp": " "}
+_REFERENCE = re.compile(rf"&(?:#0{{0,5}}([0-9]{{2,3}})|#x0{{0,4}}([0-9a-f]{{2}})|({'|'.join(_NAMED)}));", re.I)
+_DIGIT = "(?:" + "|".join(SPELLED) + ")"
+_WORD = (rf"(?:{'|'.join(TEENS)}|(?:{'|'.join(TENS)})(?:[\s-]{_DIGIT}(?![A-Za-z]))?"
+         rf"|(?:(?:{'|'.join(TIMES)})[\s-])?{_DIGIT})")
 _RUN = re.compile(rf"(?<![A-Za-z]){_WORD}(?:[\s,-]{{1,3}}{_WORD}){{2,}}(?![A-Za-z])", re.I)
 _ONE = re.compile(_WORD, re.I)
 _SOME = rf"(?P<run>(?<![A-Za-z]){_WORD}(?:[\s,-]{{1,3}}{_WORD})*)(?![A-Za-z])"
@@ -55,9 +82,11 @@ _AFTER = re.compile(r"[\s,().-]{0,3}[0-9]|\.")
 _PLUS = re.compile(r"(?<![A-Za-z])plus\s+(?=\+?[0-9])", re.I)
 _BRACKETS = re.compile(r"\s*(?:\(\s*(at|@|dot|\.)\s*\)|\[\s*(at|@|dot|\.)\s*\]|\{\s*(at|@|dot|\.)\s*\}|<\s*(at|dot)\s*>)\s*", re.I)
 _DOTTED = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
-_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\s+at\s+(?=[A-Za-z0-9-])", re.I)
+_RAILED = re.compile(r"(?<=[A-Za-z0-9])\s*([_-])dot\1\s*(?=[A-Za-z0-9])", re.I)
+_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:\s+at\s+|\s*([_-])at\1\s*)(?=[A-Za-z0-9-])", re.I)
 _HINT = re.compile(
-    rf"[(\[{{<]\s*(?:at|@|dot|\.)\s*[)\]}}>]|\sdot\s|(?<![A-Za-z])plus\s+\+?[0-9]"
+    rf"[(\[{{<]\s*(?:at|@|dot|\.)\s*[)\]}}>]|\sdot\s|(?<![A-Za-z])plus\s+\+?[0-9]|[_-]dot[_-]|{_REFERENCE.pattern}"
+    rf"|(?:\s|[_-])at(?:\s+|[_-]\s*)[A-Za-z0-9-]+\.[A-Za-z0-9-]"
     rf"|(?<![A-Za-z]){_WORD}(?:[\s,-]{{1,3}}{_WORD}(?![A-Za-z])|\.{_WORD}(?![A-Za-z])|[\s,().-]{{0,3}}[0-9])"
     rf"|[0-9][\s,().-]{{0,3}}{_WORD}(?![A-Za-z])", re.I)
 
@@ -72,6 +101,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def local_before(text: str, end: int) -> str:
+    start = end
+    while start and text[start - 1] in LOCAL:
+        start -= 1
+    return text[start:end]
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches, found from their signs: a run of local characters, the sign, a domain."""
     end, sign = 0, text.find("@")
@@ -136,16 +172,45 @@ def ascii_of(char: str) -> str:
     if char in LOOK_ALIKES:
         return LOOK_ALIKES[char]
     same = unicodedata.normalize("NFKC", char)
-    return same if len(same) == 1 and same.isascii() else char
+    if len(same) == 1 and same.isascii():
+        return same
+    value = unicodedata.decimal(char, None)
+    return char if value is None else str(value)
+
+
+def referred(m: re.Match) -> list[tuple[str, int, int]]:
+    """The printable ASCII character that a reference names; other references stay."""
+    code, hexadecimal, name = m.groups()
+    char = _NAMED[name.lower()] if name else chr(int(code) if code else int(hexadecimal, 16))
+    return [(char, *m.span())] if " " <= char <= "~" else untouched(m)
+
+
+def untouched(m: re.Match) -> list[tuple[str, int, int]]:
+    return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m.group())]
+
+
+def digits_of(word: str) -> str:
+    """The digits that a spelled number stands for."""
+    parts = re.split(r"[\s-]", word.lower())
+    if parts[0] in TIMES:
+        return SPELLED[parts[1]] * TIMES[parts[0]]
+    if parts[0] in TENS:
+        return TENS[parts[0]] + (SPELLED[parts[1]] if len(parts) > 1 else "0")
+    return TEENS.get(parts[0]) or SPELLED[parts[0]]
+
+
+def spelled_out(m: re.Match, first: int, last: int) -> list[tuple[str, int, int]]:
+    return [(digit, *w.span()) for w in _ONE.finditer(m.string, first, last) for digit in digits_of(w.group())]
 
 
 def as_digits(m: re.Match) -> list[tuple[str, int, int]]:
     """A run of spelled digits as digits; a single one only beside a written digit or a dot."""
     first, last = m.span("run")
-    words = list(_ONE.finditer(m.string, first, last))
-    if len(words) < 2 and not _BEFORE.search(m.string, max(0, first - 4), first) and not _AFTER.match(m.string, last):
-        return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m.group())]
-    return [(SPELLED[w.group().lower()], *w.span()) for w in words]
+    digits = spelled_out(m, first, last)
+    alone = len({start for _, start, _ in digits}) < 2
+    if alone and not _BEFORE.search(m.string, max(0, first - 4), first) and not _AFTER.match(m.string, last):
+        return untouched(m)
+    return digits
 
 
 def disguised(text: str) -> list[Span]:
@@ -164,25 +229,27 @@ def rewritten(text: str, spelled: re.Pattern | None) -> Rewritten:
     """One reading: ``spelled`` finds the digits as words, after the dots have become signs;
     without it, only runs of three or more are digits."""
     new = Rewritten(text)
+    new.apply(_REFERENCE, referred)
     new.apply(_STRANGE, lambda m: [] if m.group() in INVISIBLE else [(ascii_of(m.group()), m.start(), m.end())])
     if not spelled:
-        new.apply(_RUN, lambda m: [(SPELLED[w.group().lower()], m.start() + w.start(), m.start() + w.end())
-                                   for w in _ONE.finditer(m.group())])
+        new.apply(_RUN, lambda m: spelled_out(m, *m.span()))
         new.apply(_PLUS, lambda m: [("+", m.start(), m.end())])
     new.apply(_BRACKETS, lambda m: [("@" if next(filter(None, m.groups())).lower() in ("at", "@") else ".", m.start(), m.end())])
-    new.apply(_DOTTED, lambda m: [(".", m.start(), m.end())])
+    for dot in (_DOTTED, _RAILED):
+        new.apply(dot, lambda m: [(".", m.start(), m.end())])
     if spelled:
         new.apply(spelled, as_digits)
         new.apply(_PLUS, lambda m: [("+", m.start(), m.end())])
     if "." in new.text:
-        # A bare "at" is a sign only before a name whose dots were disguised too; prose has it everywhere.
         masked = {i for i, c in enumerate(new.text) if c == "." and new.ends[i] - new.starts[i] > 1}
 
         def sign(m: re.Match) -> list[tuple[str, int, int]]:
             name = DOMAIN.match(new.text, m.end())
-            if name and any(i in masked for i in range(*name.span())):
+            known = name and name.group().rsplit(".", 1)[1].lower() in ENDINGS
+            if name and (known and local_before(new.text, m.start()).strip("._%+-").lower() not in NOT_NAMES
+                         or any(i in masked for i in range(*name.span()))):
                 return [("@", m.start(), m.end())]
-            return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m.group())]
+            return untouched(m)
 
         new.apply(_AT, sign)
     return new

@@ -5,24 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hirelake.functions import text as tx
+from hirelake.operators import aliases
 from hirelake.plans.skew import join_counted
-from hirelake.session import materialize
 
 
 def skill_mentions(df: DataFrame, dictionary: DataFrame, row_id: str = "posting_id",
                    text: str = "description", longest: int = 3) -> DataFrame:
     """Distinct ``(row_id, skill)`` for every dictionary alias found in the whole text.
 
-    Grams are made distinct per row before they are exploded, so a hot gram
-    contributes one row per text. The dictionary is written first: with its size known,
-    one under the broadcast threshold filters map-side; above it the join shuffles and
-    AQE splits hot grams.
+    The aliases form a trie that goes round in parts of bounded size, and a text is walked once
+    for each; what is shuffled is the mentions, not the word sequences of the texts.
     """
-    aliases = materialize(
-        dictionary.select(F.lower("alias").alias("gram"), "skill").distinct(), "dictionary")
     words = df.select(row_id, tx.tokens(text).alias("_words"))
-    grams = words.select(row_id, F.explode(tx.ngrams(F.col("_words"), longest)).alias("gram"))
-    return grams.join(aliases, "gram").select(row_id, "skill").distinct()
+    lower = dictionary.select(F.lower("alias").alias("alias"), "skill")
+    return aliases.mentions(words, lower, row_id, "_words", "alias", "skill", longest).distinct()
 
 
 def extract_skills(df: DataFrame, dictionary: DataFrame, row_id: str = "posting_id",

@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from hirelake.operators.copilot import CLOSED, KEYS
-from hirelake.operators.match import Rules, ranked, top_matches
-from hirelake.session import ROCKSDB, fresh_dir
+from hirelake.operators.match import Rules, top_matches
+from hirelake.session import ROCKSDB, fresh_dir, materialize
 
 
 def event_time(df: DataFrame, column: str) -> DataFrame:
@@ -168,29 +168,78 @@ def throughput_stream(events: DataFrame, width: str, lateness: str) -> DataFrame
 
 def match_feed(jobs: DataFrame, profiles: DataFrame, k: int, min_score: float, path: str, checkpoint: str,
                rules: Rules = Rules(), trigger: str | None = None) -> StreamingQuery:
-    """The ``k`` best jobs so far of each profile that score ``min_score`` or more.
-
-    Each batch writes a whole version, its own best merged with the version before, so the
-    answer does not depend on the batches; a batch repeated after a failure replaces its
-    version. ``read_feed`` gives the newest one.
+    """The ``k`` best jobs so far of each profile that score ``min_score`` or more, as changes.
+
+    Two streams: one matches the jobs of a batch and lands the best of each profile, the other
+    keeps the best so far of a profile as state and writes only what comes into it and what leaves
+    it. A batch that is repeated after a failure lands its rows again, which changes nothing, as a
+    job counts once with its best score. So what ``read_feed`` gives does not depend on the
+    batches, and what a batch writes grows with the changes, not with the profiles. The query
+    returned is the second; without a trigger the first has ended, else it runs beside it.
     """
-    wish = Rules(rules.equal, rules.at_least, rules.exclude_self, min_score)
+    spark, wish = jobs.sparkSession, Rules(rules.equal, rules.at_least, rules.exclude_self, min_score)
+    people, landed = materialize(profiles, "people"), f"{path}/found"
+    kinds = dict(profiles.dtypes)["profile_id"], dict(jobs.dtypes)["job_id"]
+    schema = StructType.fromDDL(f"profile_id {kinds[0]}, job_id {kinds[1]}, score double")
+    spark.createDataFrame([], schema).write.mode("append").parquet(landed)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        best = top_matches(profiles, batch, k, wish)
-        if batch_id:
-            before = batch.sparkSession.read.schema(best.schema).parquet(f"{path}/batch={batch_id - 1}")
-            best = ranked(best.drop("rank").unionByName(before.drop("rank")).distinct(), k)
-        best.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if not batch.isEmpty():
+            top_matches(people, batch, k, wish).select(*schema.names).write.mode("append").parquet(landed)
+
+    found = to_batches(jobs, sink, f"{checkpoint}/found", trigger=trigger)
+    if trigger is None:
+        found.awaitTermination()
+    return to_table(best_so_far(file_stream(spark, landed, schema), k), f"{path}/changes", f"{checkpoint}/changes",
+                    trigger=trigger)
+
+
+class _Best(StatefulProcessor):
+    """The best jobs of one profile so far; gives out the ones that come in and that leave."""
+
+    def __init__(self, k: int, job_kind: str):
+        self.k, self.job_kind = k, job_kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", f"version bigint, jobs array<{self.job_kind}>, scores array<double>")
 
-    return to_batches(jobs, sink, checkpoint, trigger=trigger)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.best.get()
+        version, before = (known[0], dict(zip(known[1], known[2]))) if known else (0, {})
+        seen = dict(before)
+        for r in rows:
+            seen[r.job_id] = max(r.score, seen.get(r.job_id, r.score))
+        after = dict(sorted(seen.items(), key=lambda s: (-s[1], s[0]))[:self.k])
+        gone = [(job, score, False) for job, score in before.items() if job not in after]
+        come = [(job, score, True) for job, score in after.items() if before.get(job) != score]
+        if gone or come:
+            self.best.update((version + 1, list(after), list(after.values())))
+        for job, score, entered in gone + come:
+            yield Row(profile_id=key[0], job_id=job, score=score, entered=entered, version=version + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def best_so_far(found: DataFrame, k: int) -> DataFrame:
+    """Changes of the ``k`` best ``job_id, score`` of each profile: a row ``entered`` for a job that comes
+    in or gets a better score, and one that is not for a job that leaves. The state of a profile
+    holds ``k`` jobs."""
+    found.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kinds = dict(found.dtypes)
+    return found.groupBy("profile_id").transformWithState(
+        statefulProcessor=_Best(k, kinds["job_id"]),
+        outputStructType=f"profile_id {kinds['profile_id']}, job_id {kinds['job_id']}, score double, entered boolean, version bigint",
+        outputMode="append", timeMode="None",
+    )
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a feed; other versions are not scanned."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("batch")).first()[0]
-    return versions.where(F.col("batch") == newest).drop("batch")
+    """``profile_id, job_id, score, rank``: the feed as the changes so far leave it."""
+    changes = spark.read.parquet(f"{path}/changes")
+    last = changes.groupBy("profile_id", "job_id").agg(F.max_by(F.struct("entered", "score"), "version").alias("m"))
+    order = Window.partitionBy("profile_id").orderBy(F.desc("score"), "job_id")
+    return last.where("m.entered").select("profile_id", "job_id", "m.score").withColumn("rank", F.row_number().over(order))
 
 
 class _Reminder(StatefulProcessor):

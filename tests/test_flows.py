@@ -95,6 +95,27 @@ def test_the_feed_does_not_depend_on_batches(spark, tmp_path):
     assert got[0] == got[1] and [r[2] for r in got[0]] == [9, 8, 0, 1]
 
 
+def test_the_feed_writes_changes_only(spark, tmp_path):
+    schema, path = "profile_id bigint, job_id bigint, score double", str(tmp_path / "found")
+    _files(spark, path, [[(1, 5, 0.5), (1, 6, 0.4), (2, 5, 0.9)], [(1, 6, 0.4), (1, 7, 0.3)], [(1, 8, 0.6)], [(1, 9, 0.1)]], schema)
+    changes = flows.drain(flows.best_so_far(flows.replay(spark, path, spark.read.parquet(path).schema), 2), "changes")
+    got = sorted((r.profile_id, r.version, r.entered, r.job_id, r.score) for r in changes.collect())
+    assert got == [(1, 1, True, 5, 0.5), (1, 1, True, 6, 0.4), (1, 2, False, 6, 0.4), (1, 2, True, 8, 0.6), (2, 1, True, 5, 0.9)]
+
+
+def test_a_feed_goes_on_where_it_stopped(spark, tmp_path):
+    people = spark.createDataFrame([(1, [1.0, 0.0])], "profile_id bigint, embedding array<double>")
+    schema, path = "job_id bigint, embedding array<double>", str(tmp_path / "jobs")
+    seen = []
+    for cut in ([(1, [3.0, 4.0]), (2, [0.0, 1.0])], [(3, [4.0, 3.0])], [(4, [0.0, -1.0])]):
+        _files(spark, path, [cut], schema)
+        stream = flows.replay(spark, path, spark.read.parquet(path).schema)
+        flows.match_feed(stream, people, 2, 0.1, f"{path}-feed", f"{path}-cp").awaitTermination()
+        seen.append([(r.job_id, r.score) for r in flows.read_feed(spark, f"{path}-feed").orderBy("rank").collect()])
+    assert seen == [[(1, 0.6)], [(3, 0.8), (1, 0.6)], [(3, 0.8), (1, 0.6)]]
+    assert spark.read.parquet(f"{path}-feed/changes").count() == 2
+
+
 def test_normalized_store_replaces_only_given_days(spark, tmp_path):
     path = str(tmp_path / "silver")
     make = lambda rows: spark.createDataFrame(rows, "posting_id string, fetched_at timestamp_ntz")

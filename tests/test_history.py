@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from hirelake.operators import copilot, freshness, market, normalize, skills
+from hirelake.functions import text as tx
+from hirelake.operators import aliases, copilot, freshness, market, normalize, skills
 from hirelake.plans.quantiles import exact_percentiles
 from hirelake.plans.series import running_total, with_neighbour
 
@@ -170,6 +171,24 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert kept.count() == 1
 
 
+def test_aliases_equal_brute_force_in_any_number_of_parts(spark):
+    rnd = random.Random(3)
+    letters = "abcdef"
+    texts = [" ".join(rnd.choices(letters, k=rnd.randint(0, 30))) for _ in range(200)] + [None, "", "a" * 9]
+    phrases = {" ".join(rnd.choices(letters, k=rnd.randint(1, 5))) for _ in range(120)} | {"", "a  b"}
+    entries = [(f"s{len(p) % 7}", p) for p in phrases] + [("other", next(iter(sorted(phrases - {""}))))] + [(None, "a"), ("x", None)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "posting_id bigint, description string")
+    words = spark.createDataFrame(entries, "skill string, alias string")
+    want = {(i, s) for i, t in enumerate(texts) for s, p in entries if s and p and t and len(p.split(" ")) <= 4
+            and f" {p} " in f" {t} " and p.split()}
+    split = docs.select("posting_id", tx.tokens("description").alias("w"))
+    for part_bytes in (1 << 24, 2000):
+        got = aliases.mentions(split, words, "posting_id", "w", "alias", "skill", 4, part_bytes)
+        assert {tuple(r) for r in got.collect()} == want
+    none = aliases.mentions(split, words.limit(0), "posting_id", "w", "alias", "skill", 4)
+    assert none.count() == 0
+
+
 def test_skills_by_alias(spark):
     docs = spark.createDataFrame([(1, "We use Apache Spark, and SQL."), (2, ""), (3, None), (4, "spark spark")],
                                  "posting_id bigint, description string")

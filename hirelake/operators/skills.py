@@ -9,6 +9,12 @@ from hirelake.operators import aliases
 from hirelake.plans.skew import join_counted
 
 
+def _found(df: DataFrame, dictionary: DataFrame, row_id: str, text: str, longest: int) -> DataFrame:
+    words = df.select(row_id, tx.tokens(text).alias("_words"))
+    lower = dictionary.select(F.lower("alias").alias("alias"), "skill")
+    return aliases.mentions(words, lower, row_id, "_words", "alias", "skill", longest)
+
+
 def skill_mentions(df: DataFrame, dictionary: DataFrame, row_id: str = "posting_id",
                    text: str = "description", longest: int = 3) -> DataFrame:
     """Distinct ``(row_id, skill)`` for every dictionary alias found in the whole text.
@@ -16,18 +22,14 @@ def skill_mentions(df: DataFrame, dictionary: DataFrame, row_id: str = "posting_
     The aliases form a trie that goes round in parts of bounded size, and a text is walked once
     for each; what is shuffled is the mentions, not the word sequences of the texts.
     """
-    words = df.select(row_id, tx.tokens(text).alias("_words"))
-    lower = dictionary.select(F.lower("alias").alias("alias"), "skill")
-    return aliases.mentions(words, lower, row_id, "_words", "alias", "skill", longest).distinct()
+    return _found(df, dictionary, row_id, text, longest).distinct()
 
 
 def extract_skills(df: DataFrame, dictionary: DataFrame, row_id: str = "posting_id",
                    text: str = "description", longest: int = 3) -> DataFrame:
     """``(row_id, skills)``: one array per row, at most as long as the dictionary."""
-    return (
-        skill_mentions(df, dictionary, row_id, text, longest)
-        .groupBy(row_id).agg(F.array_sort(F.collect_list("skill")).alias("skills"))
-    )
+    return _found(df, dictionary, row_id, text, longest).groupBy(row_id).agg(
+        F.array_sort(F.collect_set("skill")).alias("skills"))
 
 
 def term_counts(df: DataFrame, row_id: str = "posting_id", text: str = "description") -> DataFrame:

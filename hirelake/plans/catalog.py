@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from hirelake.functions import text as tx
-from hirelake.operators import cells, copilot, dedupe, embed, freshness, market, match, normalize, ops, sketches, skills
+from hirelake.operators import cells, copilot, dedupe, embed, freshness, market, match, normalize, ops, providers, sketches, skills
 from hirelake.plans import roles
 from hirelake.session import fresh_dir, materialize, spread, tune
 from hirelake.sources import adapters, paged, stores
@@ -472,6 +472,17 @@ def search_text(spark, sf):
     return match.search(asked, jobs, 3, model)
 
 
+def resume_matches(spark, sf):
+    """Texts of the benchmark as resumes; documents in English, taken for a place, as jobs."""
+    docs = roles.table(spark, sf, "documents").select(F.col("doc_id").alias("job_id"), F.col("text").alias("description"),
+                                                      F.col("lang").alias("location"))
+    model = _doc_model(docs)
+    jobs = materialize(embed.embed(spread(docs), model), "vectors")
+    resumes = roles.table(spark, sf, "benchmark").select(F.col("item_id").alias("profile_id"), "text")
+    return match.match_resumes(resumes, jobs, roles.dictionary(spark, sf), model, 3, location="en").select(
+        "profile_id", "job_id", "score", "rank", "n_overlap", "n_required", "explanation")
+
+
 def _explained(spark, sf, weighted: bool = False) -> DataFrame:
     people, jobs = roles.vector_profiles(spark, sf), roles.vector_jobs(spark, sf)
     found = match.match(people, jobs, 5, WISHES)
@@ -493,7 +504,7 @@ def phrased(spark, sf):
 def generated(spark, sf):
     prompts = roles.table(spark, sf, "conversations").select(
         "conv_id", "turn", F.concat(F.lit("Reply to: "), "text").alias("prompt"))
-    return embed.generate(prompts, "prompt", embed.TemplateProvider()).select("conv_id", "turn", "completion")
+    return embed.generate(prompts, "prompt", providers.llm(spark)).select("conv_id", "turn", "completion")
 
 
 def match_feed(spark, sf):
@@ -534,7 +545,7 @@ def tailored(spark, sf):
 
 
 def letters(spark, sf):
-    return copilot.draft_letters(_explained(spark, sf), embed.TemplateProvider()).select(
+    return copilot.draft_letters(_explained(spark, sf), providers.llm(spark)).select(
         "profile_id", "job_id", "letter")
 
 
@@ -699,7 +710,7 @@ QUERIES = {f.__name__: f for f in [
     resolve_clusters, merged_jobs, job_provenance,
     seen, seen_update, added_last_day, stale_postings, current_openings, jobs_added_last_day, job_openings, openings_by_day, openings_at, replayed,
     embedded, current_embeddings, same_model, pending_embeddings, embedded_profiles, match_exact, match_ann, match_filtered, match_all,
-    search_text, explained, phrased, generated, match_feed,
+    search_text, resume_matches, explained, phrased, generated, match_feed,
     role_requirements, skill_gap, skill_lift, tailored, letters, current_status, status_timeline, bad_transitions,
     due_reminders, reminder_stream, pipeline_counts, stage_durations,
     comp_by_role, comp_by_role_location, comp_cube, comp_trend, skill_demand, skill_trend, role_pay_now, top_skills,

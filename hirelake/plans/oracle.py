@@ -376,6 +376,24 @@ SQL: dict[str, str] = {
         FROM bv CROSS JOIN dv)
       SELECT profile_id, job_id, score, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, job_id)::INTEGER AS rank
       FROM s QUALIFY rank <= 3""",
+    "resume_matches": f"""WITH {_fit('documents', 'text')}, {_vectors('documents', 'doc_id', 'text', 'dv')},
+      {_vectors('benchmark', 'item_id', 'text', 'bv')},
+      s AS (SELECT bv.id AS profile_id, dv.id AS job_id,
+        CASE WHEN list_sum(bv.v) > 0 AND list_sum(dv.v) > 0 THEN round(list_cosine_similarity(bv.v, dv.v), 6) ELSE 0.0 END AS score
+        FROM bv CROSS JOIN dv WHERE dv.id IN (SELECT doc_id FROM documents WHERE lang = 'en')),
+      best AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, job_id)::INTEGER AS rank
+        FROM s QUALIFY rank <= 3),
+      bg AS (SELECT item_id, list_distinct({_grams('w')}) AS g FROM (SELECT item_id, {_tokens('text')} AS w FROM benchmark)),
+      dict AS (SELECT DISTINCT unnest(g) AS alias FROM bg),
+      dg AS (SELECT doc_id, unnest(list_distinct({_grams('w')})) AS alias FROM (SELECT doc_id, {_tokens('text')} AS w
+        FROM documents WHERE doc_id IN (SELECT job_id FROM best))),
+      dn AS (SELECT doc_id, list(alias) AS g, count(*) AS n FROM dg JOIN dict USING (alias) GROUP BY 1),
+      ex AS (SELECT profile_id, job_id, score, rank, coalesce(n, 0) AS n_required,
+        list_sort(list_transform(list_intersect(bg.g, coalesce(dn.g, [])), lambda x: replace(x, ' ', '-'))) AS overlap
+        FROM best JOIN bg ON item_id = profile_id LEFT JOIN dn ON doc_id = job_id)
+      SELECT profile_id, job_id, score, rank, CAST(len(overlap) AS INTEGER) AS n_overlap, CAST(n_required AS INTEGER) AS n_required,
+        CASE WHEN len(overlap) > 0 THEN 'Matches ' || len(overlap) || ' of ' || n_required || ' listed skills: '
+          || array_to_string(overlap, ', ') || '.' ELSE 'Similar wording; no listed skill in common.' END AS explanation FROM ex""",
     "match_exact": f"WITH {BEST10} SELECT * FROM best",
     "match_filtered": f"WITH {BEST5} SELECT * FROM best",
     "match_all": f"WITH {BEST10} SELECT * FROM best",

@@ -40,8 +40,8 @@ def _trigger(writer, trigger: str | None):
 
 
 def to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
-             trigger: str | None = None) -> StreamingQuery:
-    writer = df.writeStream.format("parquet").outputMode(mode).option("path", path)
+             trigger: str | None = None, partition_by: tuple[str, ...] = ()) -> StreamingQuery:
+    writer = df.writeStream.format("parquet").outputMode(mode).option("path", path).partitionBy(*partition_by)
     return _trigger(writer.option("checkpointLocation", checkpoint), trigger).start()
 
 
@@ -51,18 +51,24 @@ def to_batches(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint
     return _trigger(writer, trigger).start()
 
 
+def to_raw(df: DataFrame, path: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
+    """Append postings to a raw store, partitioned by fetch date as ``stores.write_raw`` does, each exactly
+    once. A folder that a stream writes lists its own files, so leave it to streams."""
+    dated = df.withColumn("fetch_date", F.to_date("fetched_at"))
+    return to_table(dated, path, checkpoint, trigger=trigger, partition_by=("fetch_date",))
+
+
 def ingest_stream(spark: SparkSession, source: str, path: str, checkpoint: str, trigger: str | None = None,
                   options: dict | None = None) -> StreamingQuery:
-    """Pull what is new at a registered source into a table, scheduled or on demand."""
-    return to_table(spark.readStream.format(source).options(**(options or {})).load(), path, checkpoint,
-                    trigger=trigger)
+    """Pull what is new at a registered source into a raw store, scheduled or on demand."""
+    return to_raw(spark.readStream.format(source).options(**(options or {})).load(), path, checkpoint, trigger)
 
 
 def ingest_files(spark: SparkSession, landed: str, schema: StructType, path: str, checkpoint: str,
                  trigger: str | None = None) -> StreamingQuery:
-    """Pull landed files that were not pulled before into a table, each exactly once and in
+    """Pull landed files that were not pulled before into a raw store, each exactly once and in
     whatever order of names they arrive. Files may lie in folders by day."""
-    return to_table(file_stream(spark, landed, schema), path, checkpoint, trigger=trigger)
+    return to_raw(file_stream(spark, landed, schema), path, checkpoint, trigger)
 
 
 def replay(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1,

@@ -5,7 +5,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from hirelake.operators import cells, embed, match
+from hirelake.operators import cells, embed, match, providers
 from hirelake.operators.match import Rules
 
 # Executors need the classes of this file but cannot import it.
@@ -252,3 +252,36 @@ def test_fitted_embedding_is_versioned_and_asks_for_new_vectors(spark, tmp_path)
     assert again.model_id != model.model_id
     assert embed.pending_embeddings(docs, store, again.model_id).count() == 4
     assert embed.FittedEmbedding.fit(docs.limit(0), dim=16).uses == [0] * 16
+
+
+def test_providers_are_named_by_the_configuration(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "spark sql"), (2, "sql")], "posting_id bigint, description string")
+    fitted = embed.FittedEmbedding.fit(docs, dim=16)
+    fitted.save(spark, str(tmp_path))
+    try:
+        assert providers.embedding(spark).model_id == "hashing-tf-256"
+        spark.conf.set(providers.EMBEDDING, "hashing:64")
+        assert providers.embedding(spark).model_id == "hashing-tf-64"
+        spark.conf.set(providers.EMBEDDING, f"fitted:{tmp_path}/{fitted.model_id}")
+        assert providers.embedding(spark).uses == fitted.uses
+        providers.register(providers.LLM, "loud", lambda spark, tone: embed.TemplateProvider("HELLO", tone))
+        spark.conf.set(providers.LLM, "loud:BYE")
+        assert providers.llm(spark).complete(["x"]) == ["HELLO\n\nx\n\nBYE"]
+        spark.conf.set(providers.LLM, "unheard")
+        with pytest.raises(ValueError):
+            providers.llm(spark)
+    finally:
+        spark.conf.unset(providers.EMBEDDING)
+        spark.conf.unset(providers.LLM)
+
+
+def test_a_resume_gets_jobs_with_reasons(spark):
+    jobs = spark.createDataFrame([(1, "spark and sql at scale", "berlin", 2), (2, "garden work", "berlin", 9), (3, "spark sql", "rome", 9)],
+                                 "job_id bigint, description string, location string, level int")
+    model = embed.HashingEmbedding(512)
+    resumes = spark.createDataFrame([(7, "I know SQL, Apache Spark", 1), (8, None, 5)], "profile_id bigint, text string, least int")
+    words = spark.createDataFrame([("Spark", "apache spark"), ("Spark", "spark"), ("SQL", "sql")], "skill string, alias string")
+    got = match.match_resumes(resumes, embed.embed(jobs, model), words, model, 1, match.Rules(at_least=(("level", "least"),)),
+                              location="berlin")
+    assert {r.profile_id: (r.job_id, r.explanation) for r in got.collect()} == {
+        7: (1, "Matches 2 of 2 listed skills: SQL, Spark."), 8: (2, "Similar wording; no listed skill in common.")}

@@ -273,9 +273,11 @@ def _similar_titles(df: DataFrame) -> DataFrame:
 
 def dedupe_cascade(spark, sf):
     """All three tiers; the vectors of the third are made of weighted title words."""
-    silver = _silver(spark, sf)
+    keys = dict.fromkeys(k for group in CROSS_SOURCE_KEYS for k in group)
+    silver = materialize(_normalized(spark, sf).select("posting_id", "title_norm", "company_norm", *keys), "silver")
     model = embed.FittedEmbedding.fit(silver, "title_norm")
-    return dedupe.dedupe(embed.embed(silver, model, "title_norm"), [*_tiers(), _similar_titles])
+    similar = lambda rest: _similar_titles(embed.embed(rest, model, "title_norm"))
+    return dedupe.dedupe(silver, [*_tiers(), similar])  # only what the exact tiers leave is embedded
 
 
 def dedupe_similar(spark, sf):

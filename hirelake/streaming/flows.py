@@ -53,7 +53,10 @@ def to_batches(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint
 
 def to_raw(df: DataFrame, path: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
     """Append postings to a raw store, partitioned by fetch date as ``stores.write_raw`` does, each exactly
-    once. A folder that a stream writes lists its own files, so leave it to streams."""
+    once. Rows of a source without ``fetched_at`` have no date to go by and are not partitioned. A
+    folder that a stream writes lists its own files, so leave it to streams."""
+    if "fetched_at" not in df.columns:
+        return to_table(df, path, checkpoint, trigger=trigger)
     dated = df.withColumn("fetch_date", F.to_date("fetched_at"))
     return to_table(dated, path, checkpoint, trigger=trigger, partition_by=("fetch_date",))
 

@@ -527,6 +527,57 @@ def test_every_id_of_a_training_text_is_a_target_once(spark):
     assert (most.max(1) <= seen).all() and most.max() > len(texts)
 
 
+def test_windows_are_passed_on_by_the_pack(spark):
+    words = spark.sparkContext.broadcast(attention.Words(attention.Subwords(attention.VOCABULARY)))
+    text = " ".join(f"word{i} of the house" for i in range(2000))
+    facts = attention.gathered(spark.createDataFrame([(text,)], "text string").coalesce(1), words)
+    packs = [len(r.ids) // (2 * (2 * attention.BLOCK + 1)) for r in facts.where("kind = 'window'").collect()]
+    assert len(packs) <= sum(packs) // attention.PACK + 1 and sum(packs) > attention.PACK
+
+
+def test_new_words_of_a_batch_are_encoded_in_one_call(monkeypatch):
+    subwords, calls = attention.Subwords(attention.VOCABULARY), []
+    known, single = attention.Words(subwords), subwords.encoding()
+    texts = ["The house's 12ab don't", None, "", "na\u00efve \u4f60\u597d \U0001f600 a\u00a0 \u3000b c\x1cd \u0085", "\u00a0 the end"]
+    want = [sum((single.encode_ordinary(" " + w.decode()) for w in (t or "").encode().lower().split()), []) for t in texts]
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(single, name)
+
+    subwords.encoder = Counted()
+    got = known.numbers(texts)
+    assert [known.ids(own).tolist() for own in got] == want
+    calls.clear()
+    assert known.ids(known.numbers(["plain words that are all of them new " * 3])[0]).size
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("by", [1, 40])  # with large weights the exponents need their shift
+def test_scores_equal_one_id_at_a_time(by):
+    m, rng = small_model(), np.random.default_rng(4)
+    m.weights = {name: w * (by if name in ("rows", "near") else 1) + rng.normal(size=w.shape).astype(np.float32) * 0.1
+                 for name, w in m.weights.items()}
+    texts = [rng.integers(0, 1999, n) for n in (0, 1, 15, 16, 17, 40, 0, 31)]
+    w, block = {name: part.astype(np.float64) for name, part in m.weights.items()}, attention.BLOCK
+
+    def plain(ids):
+        given, total = [m.end, *ids], 0.0
+        x = w["rows"][m.row[given]]
+        for i, aim in enumerate([*ids, m.end]):
+            seen = np.arange(max(0, i // block - 1) * block, i + 1)
+            a = attention.softmax(x[i] @ w["q"] @ (x[seen] @ w["k"]).T / attention.DIM ** 0.5 + w["near"][i - seen])
+            h = x[i] + a @ (x[seen] @ w["v"]) @ w["o"]
+            y = h + np.maximum(h @ w["up"], 0) @ w["down"]
+            logits = y @ w["out"] + w["bias"]
+            total += logits[m.klass[aim]] - logits.max() - np.log(np.exp(logits - logits.max()).sum()) + m.share[aim]
+        return total
+
+    assert np.allclose(m.scores(texts), [plain(ids) for ids in texts], rtol=1e-4, atol=1e-3)
+    assert len(m.scores([])) == 0
+
+
 # ---- 10: sharding and the permutation --------------------------------------------------------------------------------
 
 def place(x, total, seed):

@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -98,61 +101,96 @@ def latest_versions(updates: DataFrame, key: str = "posting_id", version: str =
     return updates.groupBy(key).agg(newest).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def _spell(key, opened: int, first: int, last: int, n: int, ended: bool) -> Row:
-    return Row(key=key, opened=opened, first_us=first, last_us=last, n_seen=n, ended=ended)
+#: One key of a group of keys in state.
+HELD = pa.schema([("key", pa.string()), ("opened", pa.int64()), ("first_us", pa.int64()), ("last_us", pa.int64()),
+                  ("n_seen", pa.int64())])
 
 
 class _Sightings(StatefulProcessor):
-    """Sightings of one key since it came up, forgotten when it has not been seen for a while."""
+    """Sightings of each key of a group since it came up; a key is forgotten when it has not been seen for a while.
+
+    The keys of a group are one Arrow batch of state and one timer, so the calls and the
+    transport between the engine and Python are paid for a group and not for a key.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spell = handle.getValueState("spell", "opened bigint, first bigint, last bigint, n bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.spell.get()
-        at = [r.at_us for r in rows]
-        opened, first, last, n = known or (min(at), min(at), None, 0)
-        now = (opened, min(first, min(at)), max(at) if last is None else max(last, max(at)), n + len(at))
-        if now[2] != last:
-            for due in list(self.handle.listTimers()) if known else ():
+        self.spells = handle.getValueState("spells", "due bigint, held binary")
+
+    def _known(self) -> tuple[int | None, pa.Table]:
+        state = self.spells.get()
+        if state is None:
+            return None, HELD.empty_table()
+        return state[0], pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(bytes(state[1])), HELD)])
+
+    def _keep(self, held: pa.Table, due: int | None) -> None:
+        """Keep the keys held and a timer for the first of them to end; one that is set earlier may stay."""
+        first = pc.min(held["last_us"]).as_py() // 1000 + self.idle_ms
+        if due is None or first < due:
+            if due is not None:
                 self.handle.deleteTimer(due)
-            self.handle.registerTimer(now[2] // 1000 + self.idle_ms)
-        self.spell.update(now)
-        yield _spell(key[0], *now, ended=False)
+            self.handle.registerTimer(first)
+            due = first
+        self.spells.update((due, held.combine_chunks().to_batches()[0].serialize().to_pybytes()))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        known = self.spell.get()
-        if known:
-            yield _spell(key[0], *known, ended=True)
-            self.spell.clear()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        due, known = self._known()
+        parts = [known.append_column("touched", pa.array(np.zeros(len(known), np.int8)))]
+        for frame in rows:
+            at, many = pa.array(frame["at_us"].to_numpy(np.int64)), len(frame)
+            parts.append(pa.Table.from_arrays(
+                [pa.array(frame["key"].tolist(), pa.string()), pa.nulls(many, pa.int64()), at, at,
+                 pa.array(np.ones(many, np.int64)), pa.array(np.ones(many, np.int8))], names=parts[0].column_names))
+        now = pa.concat_tables(parts).group_by("key", use_threads=False).aggregate(
+            [("opened", "max"), ("first_us", "min"), ("last_us", "max"), ("n_seen", "sum"), ("touched", "max")])
+        held = pa.Table.from_arrays(
+            [now["key"], pc.coalesce(now["opened_max"], now["first_us_min"]), now["first_us_min"], now["last_us_max"],
+             now["n_seen_sum"]], schema=HELD)
+        self._keep(held, due)
+        yield held.filter(pc.equal(now["touched_max"], 1)).to_pandas().assign(ended=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, known = self._known()
+        if due is None:
+            return
+        past = known["last_us"].to_numpy() // 1000 + self.idle_ms <= timerValues.getCurrentWatermarkInMs()
+        if past.all():
+            self.spells.clear()
+        else:
+            self._keep(known.filter(pa.array(~past)), None)
+        if past.any():
+            yield known.filter(pa.array(past)).to_pandas().assign(ended=True)
 
     def close(self) -> None:
         pass
 
 
 def seen_spells(df: DataFrame, idle_days: float, lateness: str, key: str = "posting_id",
-                at: str = "seen_at") -> DataFrame:
+                at: str = "seen_at", groups: int = 65_536) -> DataFrame:
     """First and last sighting as state that ends: a key not seen for ``idle_days`` is given out as
     ``ended`` and forgotten, and opens a new spell if it comes back. So the state holds the
     keys in sight, not all that ever were. Run in update mode; every batch gives the spells
-    it touched so far. Sightings without a time are left out."""
+    it touched so far. Sightings without a time are left out.
+
+    Keys, of a type that text can hold, are dealt by hash to ``groups``, which are read and
+    written whole: choose them so that a group has some hundred keys in sight. A stream that
+    has begun must keep their number."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = (
         event_time(df.where(F.col(at).isNotNull()), at).withWatermark(at, lateness)
-        .select(F.col(key).alias("key"), at, F.unix_micros(at).alias("at_us"))
+        .select(F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).cast("int").alias("_group"),
+                F.col(key).cast("string").alias("key"), at, F.unix_micros(at).alias("at_us"))
     )
-    kind = df.schema[key].dataType.simpleString()
-    spells = timed.groupBy("key").transformWithState(
+    spells = timed.groupBy("_group").transformWithStateInPandas(
         statefulProcessor=_Sightings(int(idle_days * 86_400_000)),
-        outputStructType=f"key {kind}, opened bigint, first_us bigint, last_us bigint, n_seen bigint, ended boolean",
+        outputStructType="key string, opened bigint, first_us bigint, last_us bigint, n_seen bigint, ended boolean",
         outputMode="update", timeMode="EventTime",
     )
     wall = lambda c: F.timestamp_micros(c).cast(df.schema[at].dataType)
-    return spells.select(F.col("key").alias(key), "opened", wall("first_us").alias("first_seen"),
+    return spells.select(F.col("key").cast(df.schema[key].dataType).alias(key), "opened", wall("first_us").alias("first_seen"),
                          wall("last_us").alias("last_seen"), "n_seen", "ended")
 
 

@@ -131,3 +131,27 @@ def test_state_of_sightings_stays_flat_and_the_snapshot_is_whole(spark, tmp_path
     assert log.where("ended").where("posting_id = 'p0-1'").count() == 1
     want = {tuple(r) for r in seen(spark.read.parquet(path)).collect()}
     assert {tuple(r) for r in flows.seen_of_spells(log).collect()} == want
+
+
+def test_spells_do_not_depend_on_the_groups_of_keys(spark, tmp_path):
+    # Keys beyond what a double holds; some end, one of them comes back, one has no key.
+    day, big = lambda n, h=0: T0 + timedelta(days=n, hours=h), 2**60
+    days = [[(big + i, day(d, i)) for i in range(6) if d % (i + 1) == 0 or i < 2] for d in range(0, 12, 2)]
+    days[2] += [(None, day(4, 1)), (big + 9, day(4, 2)), (big + 9, day(4))]
+    path = str(tmp_path / "in")
+    for rows in days:
+        spark.createDataFrame(rows, "posting_id bigint, seen_at timestamp_ntz").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    logs = []
+    for groups in (65_536, 2):
+        stream = flows.seen_spells(flows.replay(spark, path, spark.read.parquet(path).schema), 3, "0 days", groups=groups)
+        query = flows.to_batches(stream, lambda b, n, g=groups: b.write.mode("overwrite").parquet(f"{tmp_path}/{g}/batch={n}"),
+                                 str(tmp_path / f"cp{groups}"), "update")
+        query.awaitTermination()
+        held = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+        logs.append((spark.read.parquet(f"{tmp_path}/{groups}"), held))
+    (each, many), (few, two) = logs
+    assert two <= 2 < many  # a group is one row of state
+    rows = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert rows(few) == rows(each) and each.where("ended").count() > 3
+    assert rows(flows.seen_of_spells(few)) == rows(seen(spark.read.parquet(path)))

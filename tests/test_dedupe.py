@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from hirelake.operators import dedupe
 from hirelake.plans import skew
 from hirelake.plans.tiles import tiled
+from hirelake.session import fresh_dir, materialize
 
 
 def components(edges):
@@ -164,3 +166,59 @@ def test_counted_join_broadcasts_few_hot_keys(spark, monkeypatch):
         got = sorted(map(tuple, skew.join_counted(rows, counted, ["k"], hot_rows=0).collect()))
         assert len(got) == 90 and got == (want or got)
         want = got
+
+
+def _scratch(spark):
+    top = fresh_dir(spark, "x").rsplit("/", 1)[0]
+    return {f.name for f in Path(top.removeprefix("file:")).iterdir()} if Path(top.removeprefix("file:")).is_dir() else set()
+
+
+def test_clusters_leave_one_table_behind(spark):
+    # Stars of leaves, one of them below another; a chain that needs rounds; a loop that is its own job.
+    edges = [(100 * s + i, 100 * s) for s in range(3) for i in range(1, 20)] + [(200, 100)]
+    edges += [(1001 + i, 1000 + i) for i in range(9)] + [(5, 5), (7000, 7000), (101, 100)]
+    frame = spark.createDataFrame(edges, "posting_id bigint, dup_of bigint")
+    before = _scratch(spark)
+    rows = dedupe.resolve_clusters(frame).collect()
+    assert {r.node: r.job_id for r in rows} == components(edges) and len(rows) == len(components(edges))
+    assert {name.split("-")[0] for name in _scratch(spark) - before} <= {"clusters", "counted"}
+
+
+def test_unique_keys_are_not_compared(spark):
+    rows = spark.createDataFrame([(f"p{i:02}", f"u{i}", f"e{i % 30}" if i < 35 else None) for i in range(40)],
+                                 "posting_id string, canonical_url string, external_id string")
+    assert dedupe._repeated(rows, ["canonical_url"]) is None
+    few = dedupe._repeated(rows.where("external_id IS NOT NULL"), ["external_id"])
+    assert sorted(r.posting_id for r in few.collect()) == sorted(f"p{i:02}" for j in range(5) for i in (j, j + 30))
+    got = dedupe.dedupe_exact(rows.unionByName(rows), [["canonical_url"], ["external_id"]])  # ids come twice as well
+    assert sorted(map(tuple, got.collect())) == [(f"p{i + 30}", f"p{i:02}", "exact") for i in range(5)]
+    none = dedupe.dedupe_exact(rows, [["canonical_url"]])
+    assert none.columns == ["posting_id", "dup_of", "tier"] and none.isEmpty()
+
+
+def test_what_a_tier_leaves_is_written_once(spark):
+    rows = spark.createDataFrame([(i, "k" if i % 2 else f"k{i}", f"t{i % 4}") for i in range(12)],
+                                 "posting_id bigint, canonical_url string, title_norm string")
+    seen = []
+
+    def tier(key):
+        return lambda d: seen.append(len(d.inputFiles())) or dedupe.group_edges(d, [key], key)
+
+    before = _scratch(spark)
+    edges = dedupe.dedupe(materialize(rows, "rows"), [tier("canonical_url"), tier("title_norm")])
+    assert sorted(map(tuple, edges.collect())) == sorted(
+        [(i, 1, "canonical_url") for i in (3, 5, 7, 9, 11)] + [(i, i % 4, "title_norm") for i in (4, 6, 8, 10)])
+    assert len(seen) == 2 and "left" not in {name.split("-")[0] for name in _scratch(spark) - before}
+
+
+def test_merged_wording_is_that_of_the_earliest(spark):
+    rows = [("b", "j", "s1", "late", "x", 2, 5, 1.0, 9.0), ("a", "j", "s2", None, "y", 1, 4, 2.0, 8.0),
+            ("c", "k", "s1", "only", "z", 3, 3, None, None), (None, None, "s1", "lost", "w", 7, 7, 1.0, 1.0),
+            (None, "j", "s3", "no id", "v", 0, 6, 0.5, 1.0), ("a", "k", "s1", "moved", "u", 9, 9, 3.0, 3.0)]
+    frame = spark.createDataFrame(rows, "posting_id string, job_id string, source string, title string, company string, "
+                                  "first_seen int, last_seen int, comp_min double, comp_max double")
+    before = _scratch(spark)
+    got = {r.job_id: tuple(r)[1:] for r in dedupe.merge_cluster(frame).collect()}
+    assert got == {"j": (None, "y", 0, 6, 0.5, 9.0, 3, 3), "k": ("moved", "u", 3, 9, 3.0, 3.0, 2, 1),
+                   None: (None, None, 7, 7, 1.0, 1.0, 1, 1)}
+    assert {name.split("-")[0] for name in _scratch(spark) - before} == {"jobs"}  # numbers first, texts of the earliest then

@@ -61,6 +61,19 @@ def test_filters_come_before_the_top_k(spark):
     assert ranking(match.top_matches(a, b, 4, WISH, tile_rows=3, n_cells=20)) == want
 
 
+def test_a_search_in_turns_finds_the_same(spark, monkeypatch):
+    people, jobs, a, b = frames(spark, 60, 240)
+    cut, kernels = [], cells.materialize
+    monkeypatch.setattr(cells, "TURN_ROWS", 1)
+    monkeypatch.setattr(cells, "materialize", lambda df, label: cut.append(label) or kernels(df, label))
+    for rules, allowed in ((Rules(), lambda p, j: True), (WISH, wished)):
+        for n_cells in (1, 24):  # all cells at once, and the near ones first
+            cut.clear()
+            found = match.top_matches(a, b, 4, rules, tile_rows=2, n_cells=n_cells)
+            assert ranking(found) == brute(people, jobs, 4, allowed)
+            assert cut.count("best") > 2 or rules.equal  # a turn's shuffle is bounded by the rows of both sides
+
+
 def test_approximate_results_are_allowed_and_correctly_scored(spark):
     people, jobs, a, b = frames(spark)
     near = match.top_matches(a, b, 4, WISH, tile_rows=16, n_cells=20, recall=0.95)

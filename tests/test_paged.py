@@ -155,3 +155,17 @@ def test_spells_do_not_depend_on_the_groups_of_keys(spark, tmp_path):
     rows = lambda df: sorted(str(tuple(r)) for r in df.collect())
     assert rows(few) == rows(each) and each.where("ended").count() > 3
     assert rows(flows.seen_of_spells(few)) == rows(seen(spark.read.parquet(path)))
+
+
+def test_pages_are_pressed_and_plain_ones_are_read_too(spark, tmp_path):
+    rows = [("a", str(i), "u", "{}" * 200, T0 + timedelta(hours=i)) for i in range(45)]
+    path = tmp_path / "board"
+    paged.write_pages(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(path), 10)
+    files = sorted((path / "a").glob("*.json*"))
+    board = paged.JsonPages(str(path))
+    assert files and all(f.name.endswith(".json.zst") for f in files) and sum(f.stat().st_size for f in files) < 45 * 200
+    assert board.count("a") == len(files)
+    (path / "a" / f"{len(files)}.json").write_text('{"postings": [{"external_id": "x", "fetched_at": null}]}')
+    assert board.count("a") == len(files) + 1 and board.page("a", len(files)) == [{"external_id": "x", "fetched_at": None}]
+    with pytest.raises(FileNotFoundError):
+        board.page("a", len(files) + 1)

@@ -90,3 +90,13 @@ def test_normal_forms_are_stable(spark, items):
     for f in (tx.canonical_url, tx.norm_title):
         once = values(spark, items, f)
         assert values(spark, once, f) == once
+
+
+def test_hints_of_units_are_in_every_way_to_write_them(spark):
+    for unit, hint in tx.UNIT_HINTS.items():
+        assert all(hint in word for word in [*tx.UNIT_WORDS[unit].split("|"), tx.UNIT_ADVERBS[unit]])
+    assert set(tx.UNIT_HINTS) == set(tx.UNITS_PER_YEAR)
+    texts = {"$50 an hour": 104_000.0, "$400 / day": 104_000.0, "$2k a wk": 104_000.0, "$5,000 monthly": 60_000.0,
+             "$60k - $70k": 60_000.0, "$60k with health": 60_000.0}
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.low for r in frame.select("t", tx.parse_comp("t")["min"].alias("low")).collect()} == texts

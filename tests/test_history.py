@@ -232,3 +232,19 @@ def test_openings_at_equal_brute_force(spark):
             if at and a and b and a.date() <= at <= b.date() and {x for x in wished or () if x}
             and {x for x in wished if x} <= set(skills or ())]
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
+
+
+def test_equal_wishes_are_looked_up_once(spark, monkeypatch):
+    day, written = datetime(2024, 1, 1), {}
+    keep = freshness.materialize
+    monkeypatch.setattr(freshness, "materialize", lambda df, label, *a: written.setdefault(label, keep(df, label, *a)))
+    jobs = spark.createDataFrame([(f"p{i}", ["a", "b"] if i % 2 else ["b", "a", "c"], day, day) for i in range(20)],
+                                 "posting_id string, skills array<string>, first_seen timestamp_ntz, last_seen timestamp_ntz")
+    wanted = [(i, ["b", "a"] if i % 2 else ["a", "b", "a"], day.date()) for i in range(30)] + [(30, ["c"], day.date())]
+    frame = spark.createDataFrame(wanted + wanted[:5], "wanted_id int, skills array<string>, day date")
+    got = freshness.openings_at(jobs, frame).collect()
+    assert sorted(map(tuple, got)) == sorted([(w, f"p{i}") for w in range(30) for i in range(20)]
+                                             + [(30, f"p{i}") for i in range(0, 20, 2)])
+    # One row a posting and block of days, with its skills in one order, and not one for each skill.
+    spans = written["spans"].collect()
+    assert len(spans) == 20 and len({tuple(r["_set"]) for r in spans}) == 2
